@@ -134,7 +134,7 @@ def _models(spark, sf):
     return metrics.distinct_models(table(spark, sf, "events").withColumnRenamed("event_type", "model"), "model")
 
 
-def _stored_predictions(spark, sf):
+def stored_predictions(spark, sf):
     """Predictions-table rows of the two models whose values need no rounding."""
     p = predictions(spark, sf).where(F.col("model").isin("last", "day"))
     shaped = [
@@ -156,7 +156,7 @@ def _stored_predictions(spark, sf):
     ),
 )
 def _scan_predictions(spark, sf):
-    return scan_predictions(_stored_predictions(spark, sf), "click")
+    return scan_predictions(stored_predictions(spark, sf), "click")
 
 
 @register(

@@ -1 +1,121 @@
+"""Imputation and forecasting. Models have no SQL counterpart; exact parts of them do.
 
+Boosting runs fewer rounds here than the library's defaults, to keep the registered queries
+short.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from tidemark.catalog.base import register
+from tidemark.catalog.gaps_and_joins import LINE, NEAR_SQL, feature_matrix
+from tidemark.catalog.stand_ins import KEY, grid, hourly, with_ctes
+from tidemark.operators.frames import split_chronological
+from tidemark.operators.keyed import settled
+from tidemark.operators.selection import top_k_importance
+from tidemark.plans.cleaning import clean_prices, impute_gbt
+from tidemark.plans.features import FEATURES, TARGET
+from tidemark.plans.forecast import feature_importance, fit_gbt, model_rows, score
+from tidemark.plans.seasonal import seasonal_ar
+from tidemark.session import scratch_path
+from tidemark.sinks.tables import save_model
+
+ROUNDS = 20
+TRAIN_END, VAL_END = "2024-01-17", "2024-01-20"
+
+
+def _splits(spark, sf):
+    labelled = settled(split_chronological(feature_matrix(spark, sf), "datetime", TRAIN_END, VAL_END), "matrix")
+    return [labelled.where(F.col("split") == s) for s in ("train", "val", "test")]
+
+
+def _fitted(spark, sf):
+    train, val, test = _splits(spark, sf)
+    return fit_gbt(train, FEATURES, TARGET, val, rounds=ROUNDS, patience=5), test
+
+
+@register("fit_gbt")
+def _fit(spark, sf):
+    train, val, _ = _splits(spark, sf)
+    model = fit_gbt(train, FEATURES, TARGET, val, rounds=ROUNDS, patience=5)
+    return score(model, model_rows(val, FEATURES, TARGET)).select("barra", "datetime", TARGET, "predicted")
+
+
+@register("score")
+def _score(spark, sf):
+    model, test = _fitted(spark, sf)
+    return score(model, model_rows(test, FEATURES, TARGET)).select("barra", "datetime", TARGET, "predicted")
+
+
+@register("feature_importance")
+def _importance(spark, sf):
+    return feature_importance(_fitted(spark, sf)[0])
+
+
+@register("top_k_importance")
+def _top(spark, sf):
+    return top_k_importance(feature_importance(_fitted(spark, sf)[0]))
+
+
+@register("save_model")
+def _save(spark, sf):
+    model, test = _fitted(spark, sf)
+    path = scratch_path(spark, "model")
+    save_model(model, path)
+    rows = model_rows(test, FEATURES, TARGET)
+    return score(PipelineModel.load(path), rows).select("barra", "datetime", "predicted")
+
+
+@register("impute_gbt")
+def _impute(spark, sf):
+    return impute_gbt(grid(spark, sf), KEY, "hour", "value", trees=ROUNDS, method="how")
+
+
+@register(
+    "impute_observed",
+    with_ctes("g", body="SELECT event_type, hour, value FROM g WHERE value IS NOT NULL"),
+)
+def _impute_observed(spark, sf):
+    filled = impute_gbt(grid(spark, sf), KEY, "hour", "value", trees=ROUNDS, method="how")
+    return filled.where(F.col("how") == "observed").select("event_type", "hour", "value")
+
+
+# Prices with holes: values under 100 count as negative, and a low factor makes outliers.
+RAW_PRICE = "CASE WHEN value < 100 THEN -value ELSE value END"
+
+
+@register(
+    "clean_prices",
+    with_ctes(
+        "g",
+        body=f"""SELECT event_type AS barra, hour AS datetime, was IS NULL AS is_imputed, CASE WHEN value IS NOT NULL THEN value
+              WHEN p - pp <= 3 THEN CASE WHEN nv IS NULL THEN pv ELSE {LINE} END END AS filled_exactly
+        FROM ({NEAR_SQL.format(source='''(SELECT event_type, hour, r AS value, r AS was FROM
+           (SELECT g.event_type, hour, CASE WHEN value < 100 OR value > 3 * q THEN NULL ELSE value END AS r FROM g
+            JOIN (SELECT event_type, quantile_cont(value, 0.999) AS q FROM g WHERE value >= 100 GROUP BY 1) l
+              ON l.event_type = g.event_type))''')})""",
+    ),
+    floats=["filled_exactly"],
+)
+def _clean(spark, sf):
+    raw = grid(spark, sf).select(
+        F.col("event_type").alias("barra"), F.col("hour").alias("datetime"), F.expr(RAW_PRICE).alias("cmg_usd_mwh")
+    )
+    clean = clean_prices(raw, trees=ROUNDS, method="how")
+    exact = F.when(F.col("how").isin("observed", "interpolated"), F.col("cmg_usd_mwh"))
+    return clean.select("barra", "datetime", "is_imputed", exact.alias("filled_exactly"))
+
+
+@register("clean_prices_filled")
+def _clean_filled(spark, sf):
+    raw = grid(spark, sf).select(
+        F.col("event_type").alias("barra"), F.col("hour").alias("datetime"), F.expr(RAW_PRICE).alias("cmg_usd_mwh")
+    )
+    return clean_prices(raw, trees=ROUNDS)
+
+
+@register("seasonal_ar")
+def _seasonal(spark, sf):
+    return seasonal_ar(hourly(spark, sf), KEY, "hour", "value", horizon=24)

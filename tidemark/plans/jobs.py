@@ -43,7 +43,7 @@ class LoadConfig:
     weather: str | Sequence[str] | None = None
     barra: str | None = DEFAULT_BARRA
     bus_map: Mapping[str, str] | None = None
-    region: str | None = DEFAULT_REGION
+    region: str = DEFAULT_REGION
     reservoir_names: Sequence[str] = RESERVOIRS
     reservoir_from_year: int = RESERVOIR_FROM_YEAR
     tz: str = DEFAULT_TZ

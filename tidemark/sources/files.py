@@ -85,7 +85,8 @@ def scan_glob(
     with_bad = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     rows = (
         spark.read.schema(with_bad)
-        .options(header="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema="true", **options)
+        .options(**{"header": "true", **options})
+        .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema="true")
         .csv(paths if isinstance(paths, str) else list(paths))
         .withColumn("_file", F.col("_metadata.file_path"))
     )
@@ -221,20 +222,20 @@ def read_reservoir_csv(
 
 
 def read_weather_json(
-    spark: SparkSession, paths: str | Sequence[str], region: str | None = DEFAULT_REGION
+    spark: SparkSession, paths: str | Sequence[str], region: str = DEFAULT_REGION
 ) -> DataFrame:
     """(date, temp_max_c, precip_mm, region) from stored payload files, one document per file.
 
-    A payload without the expected fields fails the job. With ``region=None`` the region is
-    the file name without its extension.
+    A payload without the expected fields fails the job. ``region`` may be a pattern with one
+    group, which then takes each file's region from its path.
     """
     prepare(spark)
     docs = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    if region is None:
-        file_name = F.element_at(F.split(F.col("_metadata.file_name"), r"/"), -1)
-        docs = docs.withColumn("region", F.regexp_replace(F.url_decode(file_name), r"\.[^.]*$", ""))
+    if "(" in region:
+        where = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), region, 1)
+        docs = docs.select("value", where.alias("region"))
     else:
-        docs = docs.withColumn("region", F.lit(region))
+        docs = docs.select("value", F.lit(region).alias("region"))
     daily = F.from_json("value", PAYLOAD).alias("payload")
     parsed = docs.select("region", daily).select("region", "payload.daily.*")
     fields = ("time", "temperature_2m_max", "precipitation_sum")
