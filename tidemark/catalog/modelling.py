@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import register
 from tidemark.catalog.gaps_and_joins import LINE, NEAR_SQL, feature_matrix
-from tidemark.catalog.stand_ins import KEY, grid, hourly, with_ctes
+from tidemark.catalog.stand_ins import KEY, grid, series, with_ctes
 from tidemark.operators.frames import split_chronological
 from tidemark.operators.keyed import settled
 from tidemark.operators.selection import top_k_importance
@@ -118,4 +118,4 @@ def _clean_filled(spark, sf):
 
 @register("seasonal_ar")
 def _seasonal(spark, sf):
-    return seasonal_ar(hourly(spark, sf), KEY, "hour", "value", horizon=24)
+    return seasonal_ar(series(spark, sf), KEY, "hour", "value", horizon=24)

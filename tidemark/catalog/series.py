@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import register, table
-from tidemark.catalog.stand_ins import KEY, daily, grid, hourly, with_ctes
+from tidemark.catalog.stand_ins import KEY, daily, grid, series, with_ctes
 from tidemark.operators import aggregates, frames, windows
 
 LAG_SQL = ", ".join(f"lag(value, {h}) OVER w AS lag_value_{h}h" for h in windows.LAG_HOURS)
@@ -21,7 +21,7 @@ W_SQL = "WINDOW w AS (PARTITION BY event_type ORDER BY hour)"
 
 @register("lags", with_ctes("h", body=f"SELECT event_type, hour, value, {LAG_SQL} FROM h {W_SQL}"))
 def _lags(spark, sf):
-    return windows.lags(hourly(spark, sf), KEY, "hour", "value")
+    return windows.lags(series(spark, sf), KEY, "hour", "value")
 
 
 @register(
@@ -38,14 +38,14 @@ def _lags(spark, sf):
     ),
 )
 def _lags_by_time(spark, sf):
-    return windows.lags(hourly(spark, sf), KEY, "hour", "value", mode="time")
+    return windows.lags(series(spark, sf), KEY, "hour", "value", mode="time")
 
 
 @register(
     "rolling_stats", with_ctes("h", body=f"SELECT event_type, hour, value, {ROLL_SQL} FROM h"), floats=ROLL_NAMES
 )
 def _rolling(spark, sf):
-    return windows.rolling_stats(hourly(spark, sf), KEY, "hour", "value")
+    return windows.rolling_stats(series(spark, sf), KEY, "hour", "value")
 
 
 @register(
@@ -54,7 +54,7 @@ def _rolling(spark, sf):
     floats=ROLL_NAMES,
 )
 def lag_roll(spark, sf):
-    return windows.lags_and_rolling(hourly(spark, sf), KEY, "hour", "value")
+    return windows.lags_and_rolling(series(spark, sf), KEY, "hour", "value")
 
 
 @register(
@@ -69,7 +69,7 @@ def lag_roll(spark, sf):
     floats=["rolling_mean_value_24h", "rolling_std_value_24h"],
 )
 def _rolling_by_time(spark, sf):
-    return windows.rolling_stats(hourly(spark, sf), KEY, "hour", "value", [24], mode="time")
+    return windows.rolling_stats(series(spark, sf), KEY, "hour", "value", [24], mode="time")
 
 
 @register(
@@ -98,7 +98,7 @@ def _imputer_lags(spark, sf):
     floats={"sum_value": 4},
 )
 def _sequences(spark, sf):
-    found = windows.sliding_sequences(hourly(spark, sf), KEY, "hour", ["value"], "value")
+    found = windows.sliding_sequences(series(spark, sf), KEY, "hour", ["value"], "value")
     values = F.col("sequence.value")
     return found.select(
         "event_type", "hour", "target", F.size("sequence").alias("steps"), values[0].alias("first_value"),

@@ -13,6 +13,7 @@ from tidemark.catalog.base import table
 from tidemark.functions import row_sum
 from tidemark.operators.frames import ensure_columns, fill_zero
 from tidemark.operators.joins import regularize_hourly
+from tidemark.operators.keyed import settled
 from tidemark.operators.reshape import pivot_category
 from tidemark.operators.windows import lags_and_rolling
 from tidemark.sources.schemas import GENERATION_COLUMNS, TECH_COLUMNS
@@ -38,9 +39,14 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return events.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(money("value").alias("value"))
 
 
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly series as a stored table, for operators that read their input repeatedly."""
+    return settled(hourly(spark, sf), "hourly")
+
+
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with every hour present and NULL where there were no events."""
-    return regularize_hourly(hourly(spark, sf), KEY, "hour")
+    """The series with every hour present and NULL where there were no events."""
+    return settled(regularize_hourly(series(spark, sf), KEY, "hour"), "grid")
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,8 +59,8 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """(event_type, hour, model, actual, predicted): last hour, last day and daily mean as models."""
-    series = lags_and_rolling(grid(spark, sf), KEY, "hour", "value", [1, 24], [24], mode="time")
-    wide = series.select(
+    back = lags_and_rolling(grid(spark, sf), KEY, "hour", "value", [1, 24], [24], mode="time")
+    wide = back.select(
         "event_type", "hour", F.col("value").alias("actual"), F.col("lag_value_1h").alias("last"),
         F.col("lag_value_24h").alias("day"), F.col("rolling_mean_value_24h").alias("mean24"),
     )

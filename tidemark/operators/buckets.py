@@ -37,23 +37,24 @@ def time_slots(df: DataFrame, ts: str, slot_hours: int = SLOT_HOURS) -> DataFram
 
 
 def numbered_in_slots(
-    df: DataFrame, keys: Sequence[str], ts: str, slot_hours: int = SLOT_HOURS, order: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], ts: str, slot_hours: int = SLOT_HOURS
 ) -> DataFrame:
     """Add ``_slot`` and ``_rn``, the 1-based row number within (keys, slot)."""
-    w = W.partitionBy(*require_keys(keys), "_slot").orderBy(ts, *order)
+    w = W.partitionBy(*require_keys(keys), "_slot").orderBy(ts)
     return time_slots(df, ts, slot_hours).withColumn("_rn", F.row_number().over(w))
 
 
 def row_positions(
-    df: DataFrame, keys: Sequence[str], ts: str, slot_hours: int = SLOT_HOURS, order: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], ts: str, slot_hours: int = SLOT_HOURS, rows_of: DataFrame | None = None
 ) -> DataFrame:
     """Add ``_pos``, the 0-based position of the row in its series.
 
     Only the row counts per slot are summed along the series; the rows themselves are never
-    brought together.
+    brought together. ``rows_of`` is any frame with the same keys and times that is cheaper to
+    count, such as the stored table ``df`` was computed from.
     """
-    numbered = numbered_in_slots(df, keys, ts, slot_hours, order)
-    sizes = time_slots(df.select(*keys, ts), ts, slot_hours).groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = numbered_in_slots(df, keys, ts, slot_hours)
+    sizes = time_slots((rows_of or df).select(*keys, ts), ts, slot_hours).groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     placed = keyed_join(numbered, offsets, [*keys, "_slot"])
@@ -66,20 +67,21 @@ def over_rows(
     ts: str,
     reach: int,
     columns: Callable[[W], dict[str, Column]],
-    order: Sequence[str] = (),
+    rows_of: DataFrame | None = None,
     slot_hours: int = SLOT_HOURS,
     stretch_rows: int = STRETCH_ROWS,
 ) -> DataFrame:
     """Add window columns whose frames look back at most ``reach`` rows.
 
-    ``columns`` receives the ordered window and returns the named expressions.
+    ``columns`` receives the ordered window and returns the named expressions. For ``rows_of``
+    see ``row_positions``.
     """
     keys = require_keys(keys)
     size = max(stretch_rows, 8 * reach)
     home = F.floor(F.col("_pos") / F.lit(size)).cast("long")
     near_end = F.col("_pos") % F.lit(size) >= F.lit(size - reach)
     copied = (
-        row_positions(df, keys, ts, slot_hours, order)
+        row_positions(df, keys, ts, slot_hours, rows_of)
         .withColumn("_home", home)
         .withColumn("_stretch", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))))
     )

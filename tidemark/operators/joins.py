@@ -87,26 +87,26 @@ def asof_ffill(
 ) -> DataFrame:
     """For each fast row the latest slow row at or before it, as a left join.
 
-    Each slow row is valid until the next one. Its validity is cut into calendar days, which
-    makes an equi-join on (keys, day) with the exact bounds as a residual condition. A matched
-    slow row counts even if its value is NULL. ``bfill_missing`` then fills what is still NULL
-    from the next fast row of the same series, which looks into the future.
+    Each slow row is valid until the next one. Its validity is cut into calendar days up to the
+    last slow day, and a fast row looks up its own day or, past the end, that last day. So this
+    is an equi-join on (keys, day) with the exact bounds as a residual condition, and only the
+    slow side is looked at twice. A matched slow row counts even if its value is NULL.
+    ``bfill_missing`` then fills what is still NULL from the next fast row of the same series,
+    which looks into the future.
 
     ``keys`` may be empty when one slow series serves all fast rows; then at most one slow row
     per time is allowed, so the slow side is bounded by its time span.
     """
     keys = list(keys)
-    moment = F.col(slow_ts).cast("timestamp")
+    moment, at = F.col(slow_ts).cast("timestamp"), F.col(fast_ts).cast("timestamp")
+    last_day = slow.agg(F.to_date(F.max(moment))).scalar()
     ordered = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_from")
     spans = slow.select(*keys, moment.alias("_from"), *cols).withColumn("_to", F.lead("_from").over(ordered))
-    at = F.col(fast_ts).cast("timestamp")
-    reach = fast.agg(F.struct(F.to_date(F.min(at)).alias("lo"), F.to_date(F.max(at)).alias("hi"))).scalar()
-    first = F.greatest(F.to_date("_from"), reach["lo"])
-    last = F.least(F.to_date("_to"), reach["hi"])
-    days = spans.where(first <= last).withColumn("_day", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))))
+    until = F.coalesce(F.to_date("_to"), last_day)
+    days = spans.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), until, F.expr("INTERVAL 1 DAY"))))
     names = {k: f"__{k}" for k in keys}
     days = days.withColumnsRenamed(names)
-    matches: Column = F.to_date(at) == F.col("_day")
+    matches: Column = F.least(F.to_date(at), last_day) == F.col("_day")
     for k, n in names.items():
         matches &= F.col(k) == F.col(n)
     matches &= (F.col("_from") <= at) & (F.col("_to").isNull() | (at < F.col("_to")))

@@ -19,9 +19,11 @@ SEQUENCE_ROWS = 168
 Columns = Callable[[W], dict[str, Column]]
 
 
-def _apply(df: DataFrame, keys: Sequence[str], ts: str, reach: int, mode: str, columns: Columns) -> DataFrame:
+def _apply(
+    df: DataFrame, keys: Sequence[str], ts: str, reach: int, mode: str, columns: Columns, rows_of: DataFrame | None = None
+) -> DataFrame:
     if mode == "rows":
-        return over_rows(df, keys, ts, reach, columns)
+        return over_rows(df, keys, ts, reach, columns, rows_of)
     if mode == "time":
         return over_hours(df, keys, ts, reach, columns)
     raise ValueError("mode must be 'rows' or 'time'")
@@ -74,13 +76,17 @@ def lags_and_rolling(
     hours: Sequence[int] = LAG_HOURS,
     windows: Sequence[int] = ROLLING_HOURS,
     mode: str = "rows",
+    rows_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Both of the above over one shared bucketing of the rows."""
+    """Both of the above over one shared bucketing of the rows.
+
+    ``rows_of`` may name a cheaper frame with the same keys and times.
+    """
 
     def columns(w: W) -> dict[str, Column]:
         return _lag_columns(value, hours, mode)(w) | _rolling_columns(value, windows, mode)(w)
 
-    return _apply(df, keys, ts, max(*hours, *windows), mode, columns)
+    return _apply(df, keys, ts, max(*hours, *windows), mode, columns, rows_of)
 
 
 def imputer_lags(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:

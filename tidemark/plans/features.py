@@ -11,6 +11,7 @@ from tidemark.functions.clock import DEFAULT_TZ, utc_to_local
 from tidemark.operators.frames import TEST_END, TRAIN_START, cyclic_encode, time_range, weekend_flag
 from tidemark.operators.gaps import bfill
 from tidemark.operators.joins import asof_ffill, join_price_generation, lookup_holiday
+from tidemark.operators.keyed import settled
 from tidemark.operators.windows import LAG_HOURS, ROLLING_HOURS, lags_and_rolling
 from tidemark.sources.schemas import GENERATION_COLUMNS
 
@@ -59,11 +60,14 @@ def build_feature_matrix(
     )
     for slow, column in ((reservoirs, "energy_gwh"), (weather, "temp_max_c")):
         both = asof_ffill(both, slow, [], "datetime", "date", [column])
-    if bfill_missing:
-        both = time_range(bfill(both, ["barra"], "datetime", ["energy_gwh", "temp_max_c"]), "datetime", None, last)
-    matrix = lags_and_rolling(both, ["barra"], "datetime", TARGET, mode=mode)
-    if lookback:
-        matrix = time_range(matrix, "datetime", start, None)
+    # The steps below read their input more than once.
+    both = settled(both, "joined")
+    slow_missing = F.col("energy_gwh").isNull() | F.col("temp_max_c").isNull()
+    matrix = both
+    if bfill_missing and not both.where(slow_missing).isEmpty():
+        matrix = bfill(matrix, ["barra"], "datetime", ["energy_gwh", "temp_max_c"])
+    matrix = lags_and_rolling(matrix, ["barra"], "datetime", TARGET, mode=mode, rows_of=both)
+    matrix = time_range(matrix, "datetime", start if lookback else None, None if last_cut else last)
     matrix = weekend_flag(cyclic_encode(matrix, "datetime", tz), "datetime", tz)
     matrix = matrix.withColumn("_date", F.to_date(utc_to_local(F.col("datetime"), tz)))
     matrix = lookup_holiday(matrix, "_date", holidays)

@@ -80,13 +80,14 @@ def scan_glob(
     """Delimited files as (good rows, rows that do not fit the schema), each with ``_file``.
 
     One scan over all files; a broken file contributes to the second frame and does not stop
-    the others.
+    the others. Columns are not pruned while parsing, because a row with too few cells goes
+    unnoticed if only its first cells are asked for.
     """
     with_bad = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     rows = (
         spark.read.schema(with_bad)
         .options(**{"header": "true", **options})
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema="true")
+        .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema="true", columnPruning="false")
         .csv(paths if isinstance(paths, str) else list(paths))
         .withColumn("_file", F.col("_metadata.file_path"))
     )
