@@ -45,6 +45,19 @@ def _quantile(spark, sf):
     return quantiles.quantile_exact(items, ["l_suppkey"], "l_extendedprice", [0.25, 0.5, 0.999], ["q25", "q50", "q999"])
 
 
+@register(
+    "quantile_exact_large_groups",
+    """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.001) AS q001, quantile_cont(l_extendedprice, 0.5) AS q50,
+              quantile_cont(l_extendedprice, 0.999) AS q999 FROM lineitem GROUP BY 1""",
+    floats={"q001": 5, "q50": 5, "q999": 5},
+)
+def _quantile_large(spark, sf):
+    # The route of groups too large for one buffer, whatever their size here.
+    items = table(spark, sf, "lineitem")
+    probs, names = [0.001, 0.5, 0.999], ["q001", "q50", "q999"]
+    return quantiles.quantile_exact(items, ["l_returnflag"], "l_extendedprice", probs, names, small_group=0)
+
+
 @register(
     "median_exact",
     "SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median FROM lineitem GROUP BY 1, 2",

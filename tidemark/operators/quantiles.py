@@ -1,7 +1,7 @@
-"""Exact quantiles without gathering a group in one task.
+"""Exact quantiles without gathering a large group in one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here a bounded sketch
-first brackets each wanted rank, one pass counts the rows below each bracket, and only the
+``percentile`` keeps every distinct value of a group in one buffer, so it only serves groups
+whose size was checked. Beyond that a bounded sketch first brackets each wanted rank, one pass counts the rows below each bracket, and only the
 rows inside the brackets (a few in ten thousand) are counted per value and ranked, cut into
 slices by value so that even they never meet in one task. The answer is exact: a sketch only
 decides which rows need ranking, and the counts prove that the bracket holds the wanted rank.
@@ -19,6 +19,7 @@ from tidemark.operators.keyed import keyed_join, require_keys, settled
 
 ACCURACY = 20_000
 SLICES = 256
+SMALL_GROUP = 250_000
 
 
 def quantile_exact(
@@ -28,11 +29,22 @@ def quantile_exact(
     probs: Sequence[float],
     names: Sequence[str] | None = None,
     accuracy: int = ACCURACY,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Linearly interpolated quantiles of the non-NULL values, one row per key."""
     keys = require_keys(keys)
     names = list(names or [f"q{p:g}" for p in probs])
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    largest = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    if (largest or 0) <= small_group:
+        found = known.groupBy(*keys).agg(F.percentile("_v", list(probs)).alias("_q"))
+        return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
+    return _bracketed_quantiles(known, keys, probs, names, accuracy)
+
+
+def _bracketed_quantiles(
+    known: DataFrame, keys: list[str], probs: Sequence[float], names: list[str], accuracy: int
+) -> DataFrame:
     slack = 4.0 / accuracy
     marks = [q for p in probs for q in (max(p - slack, 0.0), min(p + slack, 1.0))]
     sketch = known.groupBy(*keys).agg(F.percentile_approx("_v", marks, accuracy).alias("_marks"))

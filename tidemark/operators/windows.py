@@ -121,23 +121,19 @@ def sliding_sequences(
     return found.where(F.size("sequence") == n).select(*keys, ts, "sequence", F.col(target).alias("target"))
 
 
-def dedupe_first(
-    df: DataFrame, keys: Sequence[str], tie_break: Sequence[str], copies: str | None = None
-) -> DataFrame:
+def dedupe_first(df: DataFrame, keys: Sequence[str], tie_break: Sequence[str]) -> DataFrame:
     """One row per key, the smallest by ``tie_break`` and then by the remaining columns.
 
     An aggregate rather than a ranking window: copies collapse before the shuffle, so a key
-    with very many copies costs no more than any other. ``copies`` names a column for the
-    number of rows each key had.
+    with very many copies costs no more than any other.
     """
     keys = require_keys(keys)
     rest = [c for c in df.columns if c not in keys]
     ordered = [*[c for c in tie_break if c in rest], *[c for c in rest if c not in tie_break]]
-    found = [F.min(F.struct(*ordered)).alias("_first")] if ordered else []
-    found += [F.count(F.lit(1)).alias(copies or "_copies")]
-    first = df.groupBy(*keys).agg(*found)
-    kept = [F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns]
-    return first.select(*kept, *([copies] if copies else []))
+    if not ordered:
+        return df.select(*keys).distinct()
+    first = df.groupBy(*keys).agg(F.min(F.struct(*ordered)).alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
 def first_n_days(df: DataFrame, keys: Sequence[str], ts: str, days: int = 30) -> DataFrame:

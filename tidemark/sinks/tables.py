@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tidemark.functions import is_finite
+from tidemark.operators.joins import anti_existing
 from tidemark.operators.windows import dedupe_first
 from tidemark.sources.schemas import KEYS, PREDICTIONS, REQUIRED, TABLES, fit_schema
 
@@ -35,9 +36,8 @@ def with_month(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(MONTH, F.date_format(F.col(ts), "yyyy-MM"))
 
 
-def insert_summary(observed: dict[str, int | None]) -> dict[str, int]:
-    """Attempted, inserted and ignored rows from the metrics of the writing pass."""
-    attempted, inserted = observed.get("attempted") or 0, observed.get("inserted") or 0
+def insert_summary(attempted: int, inserted: int) -> dict[str, int]:
+    """Attempted, inserted and ignored rows of one load."""
     return {"attempted": attempted, "inserted": inserted, "ignored": attempted - inserted}
 
 
@@ -54,8 +54,9 @@ def insert_if_absent(
 
     Existing rows are never changed. Within the batch the smallest row by ``tie_break`` (then
     by the remaining columns) wins. Columns outside ``schema`` serve as tie-break only.
-    Only the table partitions between the batch's first and last month are read. Counts are
-    observed in the writing stage itself, where each partition reports once.
+    Only the table partitions between the batch's first and last month are read. New rows are
+    rebalanced by month before the write, which keeps files few and splits a month that is too
+    large for one task; inserted rows are counted in the writing stage itself.
     """
     keys = list(keys)
     if not keys:
@@ -68,25 +69,24 @@ def insert_if_absent(
 
     helpers = [c for c in tie_break if c not in schema.fieldNames()]
     month = F.date_format(F.col(ts), "yyyy-MM")
-    span = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi")).first()
-    if span is None or span["lo"] is None:
-        return insert_summary({})
+    batch = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not batch["n"]:
+        return insert_summary(0, 0)
 
     typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], *helpers)
-    first = dedupe_first(typed, keys, tie_break, copies="_copies").drop(*helpers)
-    stored = read_table(spark, path, schema).where(F.col(MONTH).between(span["lo"], span["hi"]))
-    known = stored.select(*keys, F.lit(True).alias("_known"))
-    marked = with_month(first.join(known, keys, "left"), ts)
-
+    first = dedupe_first(typed, keys, tie_break).drop(*helpers)
+    stored = read_table(spark, path, schema).where(F.col(MONTH).between(batch["lo"], batch["hi"]))
     watch = Observation()
-    is_new = F.col("_known").isNull()
-    out = (
-        marked.observe(watch, F.sum("_copies").alias("attempted"), F.count_if(is_new).alias("inserted"))
-        .where(is_new)
+    (
+        with_month(anti_existing(first, stored, keys), ts)
         .select(*schema.fieldNames(), MONTH)
+        .hint("rebalance", MONTH)
+        .observe(watch, F.count(F.lit(1)).alias("inserted"))
+        .write.mode("append")
+        .partitionBy(MONTH)
+        .parquet(path)
     )
-    out.write.mode("append").partitionBy(MONTH).parquet(path)
-    return insert_summary(watch.get)
+    return insert_summary(batch["n"], watch.get["inserted"])
 
 
 def load_table(spark: SparkSession, df: DataFrame, root: str, table: str, tie_break: Sequence[str] = ()) -> dict[str, int]:
@@ -132,7 +132,7 @@ def materialize_features(wide: DataFrame, path: str, ts: str = "datetime") -> No
     """Write the joined hourly table, replacing only the months it contains."""
     (
         with_month(wide, ts)
-        .repartition(MONTH, F.col(ts).cast("date"))
+        .hint("rebalance", MONTH)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH)
