@@ -91,7 +91,10 @@ def scan_glob(
         .csv(paths if isinstance(paths, str) else list(paths))
         .withColumn("_file", F.col("_metadata.file_path"))
     )
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull())
+    # Spark refuses to look at the bad-row column alone, so the conditions name a data column too.
+    always = F.length(F.coalesce(F.col(schema[0].name).cast("string"), F.lit(""))) >= 0
+    good = rows.where(F.col("_corrupt").isNull() & always).drop("_corrupt")
+    return good, rows.where(F.col("_corrupt").isNotNull() & always)
 
 
 def text_schema(names: Sequence[str]) -> T.StructType:
