@@ -97,7 +97,7 @@ def weather(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     top = F.max("value")
     return events.groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("region")).agg(
-        F.when(top >= 300, top).alias("temp_max_c"), money("value").alias("precip_mm")
+        F.when(top >= 200, top).alias("temp_max_c"), money("value").alias("precip_mm")
     )
 
 
@@ -166,7 +166,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "weather": (
         """SELECT CAST(ts AS DATE) AS date, event_type AS region,
-                  CASE WHEN max(value) >= 300 THEN max(value) END AS temp_max_c,
+                  CASE WHEN max(value) >= 200 THEN max(value) END AS temp_max_c,
                   CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS precip_mm
            FROM events GROUP BY 1, 2""",
         (),

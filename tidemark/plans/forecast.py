@@ -68,6 +68,8 @@ def fit_gbt(
     """
     ensure_checkpoint_dir(train.sparkSession)
     rows = settled(model_rows(train, features, target).select(*features, target), "train")
+    if rows.isEmpty():
+        raise ValueError("no training row has all features and the target")
     model = _pipeline(features, target, rounds, seed).fit(rows)
     if validation is None:
         return model

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clock import DEFAULT_TZ
 from tidemark.operators.frames import rename_proxy, tag_constant
+from tidemark.operators.keyed import settled
 from tidemark.operators.selection import union_files
 from tidemark.operators.windows import dedupe_first
 from tidemark.plans.cleaning import IMPUTER_TREES, clean_generation, clean_prices
@@ -62,8 +63,9 @@ def _prices(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> Dat
 def load_prices(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> int:
     raw = _prices(spark, cfg, day)
     if day is not None:
-        raw = _with_context(spark, cfg, raw, day)
-    clean = clean_prices(raw.drop("_new"), trees=cfg.trees)
+        raw = settled(_with_context(spark, cfg, raw, day), "prices")
+    # Stored before the insert, which reads its batch twice.
+    clean = settled(clean_prices(raw.drop("_new"), trees=cfg.trees), "clean-prices")
     if day is not None:
         clean = clean.join(raw.where("_new").select("barra", "datetime"), ["barra", "datetime"], "left_semi")
     return load_table(spark, clean, cfg.root, "marginal_costs")["inserted"]
@@ -88,8 +90,9 @@ def load_generation(spark: SparkSession, cfg: LoadConfig, day: str | None = None
     rows = read_generation_tsv(spark, cfg.generation, tz=cfg.tz)
     if day is not None:
         rows = _local_day(rows, "datetime", day, cfg.tz)
+    rows = settled(rows, "generation")
     clean = clean_generation(tag_constant(rows, "_series", "all"), ["_series"], tz=cfg.tz).drop("_series")
-    return load_table(spark, clean, cfg.root, "generation_by_tech")["inserted"]
+    return load_table(spark, settled(clean, "clean-generation"), cfg.root, "generation_by_tech")["inserted"]
 
 
 def load_reservoirs(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> int:
