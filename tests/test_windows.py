@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +31,19 @@ def test_lags_and_rolling_by_rows_match_pandas(spark, seed):
         same(got, std.rename(columns={"w": f"rolling_std_v_{n}h"}), [f"rolling_std_v_{n}h"])
 
 
+def test_long_windows_composed_of_short_ones_match_pandas(spark):
+    pdf = random_series(6, holes=0.7)
+    pdf.loc[pdf.k == "k3", "v"] = pdf["v"].where(pdf["v"].isna(), 1e6 + 0.25)  # constant: deviation exactly 0
+    pdf.loc[pdf.k == "k4", "v"] = None
+    got = to_pandas(windows.rolling_stats(to_spark(spark, pdf, SCHEMA), ["k"], "ts", "v", [6, 30, 36, 13]), ["k", "ts"])
+    assert list(got.columns)[3:] == [f"rolling_{s}_v_{n}h" for n in (6, 30, 36, 13) for s in ("mean", "std")]
+    for n in (6, 30, 36, 13):
+        mean = by_key(pdf, lambda s: s.shift(1).rolling(n, min_periods=1).mean())
+        std = by_key(pdf, lambda s: s.shift(1).rolling(n, min_periods=1).apply(lambda x: x.std()))
+        np.testing.assert_allclose(got[f"rolling_mean_v_{n}h"], mean["w"], rtol=1e-9)
+        np.testing.assert_allclose(got[f"rolling_std_v_{n}h"], std["w"], rtol=1e-7, atol=1e-9)
+
+
 def test_small_buckets_give_the_same_lags(spark):
     pdf = random_series(3)
     df = to_spark(spark, pdf, SCHEMA)

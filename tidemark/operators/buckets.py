@@ -66,15 +66,16 @@ def over_rows(
     keys: Sequence[str],
     ts: str,
     reach: int,
-    columns: Callable[[W], dict[str, Column]],
+    *stages: Callable[[W], dict[str, Column]],
     rows_of: DataFrame | None = None,
     slot_hours: int = SLOT_HOURS,
     stretch_rows: int = STRETCH_ROWS,
 ) -> DataFrame:
     """Add window columns whose frames look back at most ``reach`` rows.
 
-    ``columns`` receives the ordered window and returns the named expressions. For ``rows_of``
-    see ``row_positions``.
+    Each stage receives the ordered window and returns the named expressions to add; later
+    stages may use the columns of earlier ones, all within the one shuffle. For ``rows_of`` see
+    ``row_positions``.
     """
     keys = require_keys(keys)
     size = max(stretch_rows, 8 * reach)
@@ -86,11 +87,9 @@ def over_rows(
         .withColumn("_stretch", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))))
     )
     window = W.partitionBy(*keys, "_stretch").orderBy("_pos")
-    return (
-        copied.withColumns(columns(window))
-        .where(F.col("_stretch") == F.col("_home"))
-        .drop("_pos", "_home", "_stretch")
-    )
+    for stage in stages:
+        copied = copied.withColumns(stage(window))
+    return copied.where(F.col("_stretch") == F.col("_home")).drop("_pos", "_home", "_stretch")
 
 
 def over_hours(
@@ -98,12 +97,12 @@ def over_hours(
     keys: Sequence[str],
     ts: str,
     reach: int,
-    columns: Callable[[W], dict[str, Column]],
+    *stages: Callable[[W], dict[str, Column]],
     slot_hours: int = SLOT_HOURS,
 ) -> DataFrame:
     """Add window columns whose frames look back at most ``reach`` hours.
 
-    The window handed to ``columns`` is ordered by epoch seconds, for range frames. One
+    The window handed to each stage is ordered by epoch seconds, for range frames. One
     shuffle, because a clock slot follows from the row alone.
     """
     keys = require_keys(keys)
@@ -118,8 +117,6 @@ def over_hours(
         )
     )
     window = W.partitionBy(*keys, "_target").orderBy("_sec")
-    return (
-        copied.withColumns(columns(window))
-        .where(F.col("_target") == F.col("_slot"))
-        .drop("_sec", "_slot", "_target")
-    )
+    for stage in stages:
+        copied = copied.withColumns(stage(window))
+    return copied.where(F.col("_target") == F.col("_slot")).drop("_sec", "_slot", "_target")

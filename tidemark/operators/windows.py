@@ -20,13 +20,21 @@ Columns = Callable[[W], dict[str, Column]]
 
 
 def _apply(
-    df: DataFrame, keys: Sequence[str], ts: str, reach: int, mode: str, columns: Columns, rows_of: DataFrame | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    reach: int,
+    mode: str,
+    stages: Sequence[Columns],
+    rows_of: DataFrame | None = None,
 ) -> DataFrame:
     if mode == "rows":
-        return over_rows(df, keys, ts, reach, columns, rows_of)
-    if mode == "time":
-        return over_hours(df, keys, ts, reach, columns)
-    raise ValueError("mode must be 'rows' or 'time'")
+        found = over_rows(df, keys, ts, reach, *stages, rows_of=rows_of)
+    elif mode == "time":
+        found = over_hours(df, keys, ts, reach, *stages)
+    else:
+        raise ValueError("mode must be 'rows' or 'time'")
+    return found.drop(*[c for c in found.columns if c.startswith("_part")])
 
 
 def _lag_columns(value: str, hours: Sequence[int], mode: str) -> Columns:
@@ -38,16 +46,66 @@ def _lag_columns(value: str, hours: Sequence[int], mode: str) -> Columns:
     return columns
 
 
-def _rolling_columns(value: str, windows: Sequence[int], mode: str) -> Columns:
-    def columns(w: W) -> dict[str, Column]:
+def _rolling_stages(value: str, windows: Sequence[int], mode: str) -> list[Columns]:
+    """Rolling mean and deviation, computing a long window from short ones where possible.
+
+    A sliding frame is added up anew for every row. If a window is a multiple of the shortest
+    one, its count, mean and squared deviations follow from those of the shortest window at this
+    row and at equal steps back; combining them never subtracts, so nothing is lost to rounding.
+    """
+    base = min(windows)
+    composed = [n for n in windows if n != base and n % base == 0 and mode == "rows"]
+    direct = [n for n in windows if n not in composed]
+
+    def names(n: int) -> tuple[str, str]:
+        return f"rolling_mean_{value}_{n}h", f"rolling_std_{value}_{n}h"
+
+    def direct_columns(w: W) -> dict[str, Column]:
         found = {}
-        for n in windows:
+        for n in direct:
             frame = w.rowsBetween(-n, -1) if mode == "rows" else w.rangeBetween(-n * HOUR, -1)
-            found[f"rolling_mean_{value}_{n}h"] = F.avg(value).over(frame)
-            found[f"rolling_std_{value}_{n}h"] = F.stddev_samp(value).over(frame)
+            mean, std = names(n)
+            found |= {mean: F.avg(value).over(frame), std: F.stddev_samp(value).over(frame)}
+            if n == base and composed:
+                found["_part_n"] = F.count(value).over(frame)
         return found
 
-    return columns
+    def moments(_: W) -> dict[str, Column]:
+        mean, std = names(base)
+        spread = F.coalesce(F.pow(F.col(std), 2) * (F.col("_part_n") - 1), F.lit(0.0))
+        known = F.struct(F.col("_part_n").alias("n"), F.col(mean).alias("mean"), spread.alias("m2"))
+        return {"_part0": F.when(F.col("_part_n") > 0, known)}
+
+    def steps_back(w: W) -> dict[str, Column]:
+        return {f"_part{j}": F.lag("_part0", base * j).over(w) for j in range(1, max(composed) // base)}
+
+    def zero(c: Column) -> Column:
+        return F.coalesce(c, F.lit(0.0))
+
+    def means(_: W) -> dict[str, Column]:
+        found = {}
+        for n in composed:
+            parts = [F.col(f"_part{j}") for j in range(n // base)]
+            found[f"_part_n{n}"] = sum((F.coalesce(p["n"], F.lit(0)) for p in parts), F.lit(0))
+            found[f"_part_sum{n}"] = sum((zero(p["n"] * p["mean"]) for p in parts), F.lit(0.0))
+        return found
+
+    def deviations(_: W) -> dict[str, Column]:
+        found = {}
+        for n in composed:
+            mean, std = names(n)
+            count = F.col(f"_part_n{n}")
+            middle = F.when(count > 0, F.col(f"_part_sum{n}") / count)
+            parts = [F.col(f"_part{j}") for j in range(n // base)]
+            m2 = sum((zero(p["m2"] + p["n"] * F.pow(p["mean"] - middle, 2)) for p in parts), F.lit(0.0))
+            found |= {mean: middle, std: F.when(count > 1, F.sqrt(m2 / (count - 1)))}
+        return found
+
+    return [direct_columns, moments, steps_back, means, deviations] if composed else [direct_columns]
+
+
+def _rolling_names(value: str, windows: Sequence[int]) -> list[str]:
+    return [f"rolling_{stat}_{value}_{n}h" for n in windows for stat in ("mean", "std")]
 
 
 def lags(
@@ -58,14 +116,15 @@ def lags(
     ``rows`` counts rows back, whatever the holes; ``time`` looks up the row exactly ``h`` hours
     earlier. Times must be unique within a key.
     """
-    return _apply(df, keys, ts, max(hours), mode, _lag_columns(value, hours, mode))
+    return _apply(df, keys, ts, max(hours), mode, [_lag_columns(value, hours, mode)])
 
 
 def rolling_stats(
     df: DataFrame, keys: Sequence[str], ts: str, value: str, windows: Sequence[int] = ROLLING_HOURS, mode: str = "rows"
 ) -> DataFrame:
     """Mean and sample deviation of the preceding rows or hours, current row excluded."""
-    return _apply(df, keys, ts, max(windows), mode, _rolling_columns(value, windows, mode))
+    found = _apply(df, keys, ts, max(windows), mode, _rolling_stages(value, windows, mode))
+    return found.select(*df.columns, *_rolling_names(value, windows))
 
 
 def lags_and_rolling(
@@ -82,11 +141,10 @@ def lags_and_rolling(
 
     ``rows_of`` may name a cheaper frame with the same keys and times.
     """
-
-    def columns(w: W) -> dict[str, Column]:
-        return _lag_columns(value, hours, mode)(w) | _rolling_columns(value, windows, mode)(w)
-
-    return _apply(df, keys, ts, max(*hours, *windows), mode, columns, rows_of)
+    stages = [_lag_columns(value, hours, mode), *_rolling_stages(value, windows, mode)]
+    found = _apply(df, keys, ts, max(*hours, *windows), mode, stages, rows_of)
+    lagged = [f"lag_{value}_{h}h" for h in hours]
+    return found.select(*df.columns, *lagged, *_rolling_names(value, windows))
 
 
 def imputer_lags(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
