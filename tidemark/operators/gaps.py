@@ -19,6 +19,11 @@ from tidemark.operators.keyed import keyed_join, require_keys
 FILL_LIMIT = 3
 
 
+def _placed(position: str, value: str, known: str) -> Column:
+    """(pos, val) where ``known`` is not NULL; position first, so that min and max go by it."""
+    return F.expr(f"CASE WHEN {known} IS NOT NULL THEN named_struct('pos', {position}, 'val', {value}) END")
+
+
 def _with_neighbours(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], slot_hours: int) -> DataFrame:
     """Add ``_pos``, ``_rows`` and, per column, structs ``_prev_c`` and ``_next_c`` of (pos, val).
 
@@ -29,7 +34,7 @@ def _with_neighbours(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
 
     ends = [F.count(F.lit(1)).alias("_n")]
     for c in cols:
-        cell = F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("pos"), F.col(c).alias("val")))
+        cell = _placed("_rn", f"`{c}`", f"`{c}`")
         ends += [F.min(cell).alias(f"_first_{c}"), F.max(cell).alias(f"_last_{c}")]
     summary = numbered.groupBy(*keys, "_slot").agg(*ends)
 
@@ -44,10 +49,7 @@ def _with_neighbours(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
     )
 
     def shifted(name: str) -> Column:
-        return F.when(
-            F.col(name).isNotNull(),
-            F.struct((F.col("_off") + F.col(f"{name}.pos")).alias("pos"), F.col(f"{name}.val").alias("val")),
-        )
+        return _placed(f"_off + `{name}`.pos", f"`{name}`.val", f"`{name}`")
 
     carried = {}
     for c in cols:
@@ -62,7 +64,7 @@ def _with_neighbours(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
     behind = W.partitionBy(*keys, "_slot").orderBy(F.col("_rn").desc()).rowsBetween(W.unboundedPreceding, 0)
     prev, nxt = {}, {}
     for c in cols:
-        cell = F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col(c).alias("val")))
+        cell = _placed("_pos", f"`{c}`", f"`{c}`")
         prev[f"_prev_{c}"] = F.coalesce(F.last(cell, ignorenulls=True).over(ahead), F.col(f"_carry_prev_{c}"))
         nxt[f"_next_{c}"] = F.coalesce(F.last(cell, ignorenulls=True).over(behind), F.col(f"_carry_next_{c}"))
     return joined.withColumns(prev).withColumns(nxt)

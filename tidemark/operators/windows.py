@@ -72,33 +72,31 @@ def _rolling_stages(value: str, windows: Sequence[int], mode: str) -> list[Colum
 
     def moments(_: W) -> dict[str, Column]:
         mean, std = names(base)
-        spread = F.coalesce(F.pow(F.col(std), 2) * (F.col("_part_n") - 1), F.lit(0.0))
-        known = F.struct(F.col("_part_n").alias("n"), F.col(mean).alias("mean"), spread.alias("m2"))
-        return {"_part0": F.when(F.col("_part_n") > 0, known)}
+        spread = f"coalesce(pow(`{std}`, 2) * (_part_n - 1), 0D)"
+        known = f"named_struct('n', _part_n, 'mean', `{mean}`, 'm2', {spread})"
+        return {"_part0": F.expr(f"CASE WHEN _part_n > 0 THEN {known} END")}
 
     def steps_back(w: W) -> dict[str, Column]:
         return {f"_part{j}": F.lag("_part0", base * j).over(w) for j in range(1, max(composed) // base)}
 
-    def zero(c: Column) -> Column:
-        return F.coalesce(c, F.lit(0.0))
+    def added(term: str, n: int, nothing: str) -> str:
+        """Sum of a term over the parts of a window, where an absent part adds nothing."""
+        return " + ".join(f"coalesce({term.format(p=f'_part{j}')}, {nothing})" for j in range(n // base))
 
     def means(_: W) -> dict[str, Column]:
         found = {}
         for n in composed:
-            parts = [F.col(f"_part{j}") for j in range(n // base)]
-            found[f"_part_n{n}"] = sum((F.coalesce(p["n"], F.lit(0)) for p in parts), F.lit(0))
-            found[f"_part_sum{n}"] = sum((zero(p["n"] * p["mean"]) for p in parts), F.lit(0.0))
+            count = added("{p}.n", n, "0L")
+            found[f"_part_n{n}"] = F.expr(count)
+            found[names(n)[0]] = F.expr(f"({added('{p}.n * {p}.mean', n, '0D')}) / nullif({count}, 0L)")
         return found
 
     def deviations(_: W) -> dict[str, Column]:
         found = {}
         for n in composed:
             mean, std = names(n)
-            count = F.col(f"_part_n{n}")
-            middle = F.when(count > 0, F.col(f"_part_sum{n}") / count)
-            parts = [F.col(f"_part{j}") for j in range(n // base)]
-            m2 = sum((zero(p["m2"] + p["n"] * F.pow(p["mean"] - middle, 2)) for p in parts), F.lit(0.0))
-            found |= {mean: middle, std: F.when(count > 1, F.sqrt(m2 / (count - 1)))}
+            m2 = added(f"{{p}}.m2 + {{p}}.n * pow({{p}}.mean - `{mean}`, 2)", n, "0D")
+            found[std] = F.expr(f"CASE WHEN _part_n{n} > 1 THEN sqrt(({m2}) / (_part_n{n} - 1)) END")
         return found
 
     return [direct_columns, moments, steps_back, means, deviations] if composed else [direct_columns]
