@@ -60,7 +60,7 @@ HOURS = "\t".join(files.HOUR_COLUMNS)
 
 
 def generation_file(path, *rows):
-    lines = ["﻿Tipo\t Subtipo \tFecha\tCentral\t" + HOURS]
+    lines = ["\ufeffTipo\t Subtipo \tFecha\tCentral\t" + HOURS]
     for kind, sub, day, cells in rows:
         lines.append("\t".join([kind, sub, day, "P1", *cells]))
     path.write_text("\n".join(lines) + "\n", encoding="utf-8")

@@ -109,7 +109,7 @@ def _tokens(spark, sf):
 @register("normalize_header", "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS fecha FROM orders")
 def _header(spark, sf):
     raw = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
-    return frames.normalize_header(raw.toDF("﻿ id ", " Fecha"), date_name="fecha")
+    return frames.normalize_header(raw.toDF("\ufeff id ", " Fecha"), date_name="fecha")
 
 
 @register("require_columns", "SELECT c_custkey, c_acctbal FROM customer")

@@ -35,7 +35,7 @@ def normalize_header(df: DataFrame, date_name: str | None = None) -> DataFrame:
 
     A column spelled like ``date_name`` in any case takes exactly that name.
     """
-    marks = ("﻿", "ï»¿")
+    marks = ("\ufeff", "ï»¿")
 
     def clean(name: str) -> str:
         for mark in marks:

@@ -121,7 +121,7 @@ def type_prices(
     else:
         name = code
     date = parse_date_strict(F.col("fecha"), ISO_DATE)
-    hour = parse_decimal_comma(F.col("hora")).cast("int")
+    hour = parse_decimal_comma(F.col("hora")).try_cast("int")
     return raw.select(
         local_to_utc(hour24_to_ts(date, hour), tz).alias("datetime"),
         name.alias("barra"),
@@ -236,7 +236,7 @@ def read_weather_json(
     prepare(spark)
     docs = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     if "(" in region:
-        where = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), region, 1)
+        where = F.regexp_extract(F.try_url_decode(F.col("_metadata.file_path")), region, 1)
         docs = docs.select("value", where.alias("region"))
     else:
         docs = docs.select("value", F.lit(region).alias("region"))
