@@ -32,7 +32,7 @@ def _cell(v):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, float):
         return v + 0.0
-    return v
+    return tuple(map(_cell, v)) if isinstance(v, list) else v
 
 
 def _rows(names, rows) -> Counter:
