@@ -54,28 +54,32 @@ def term_weights(words: DataFrame, idf: DataFrame, rest: Column, key: list[str])
 
 
 def statements(files: DataFrame, templates: DataFrame, least: float) -> DataFrame:
-    """(file, license, score, share): best statement of each file (file, words by line) that has one."""
+    """(file, license, score, share): best statement of each file (file, text) that has one.
+
+    All texts are read for their template terms, which are few; only files with a prefix term are read again.
+    """
     base = templates.select("license", "template", words_of(F.col("text")).alias("words"))
     known = settled(base.select(F.explode("words").alias("term")).distinct(), "license-terms")
-    seen = files.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(known, "term").groupBy("term").count()
-    total = files.count()
-    rest = math.log(1 + total) + 1
+    seen = settled(files.select("file", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(known, "term"), "seen-terms")
+    rest = math.log(1 + files.count()) + 1
+    counts = seen.groupBy("term").count()
     idf = settled(
-        known.join(seen, "term", "left").select("term", (F.lit(rest) - F.log(1 + F.coalesce("count", F.lit(0)))).alias("idf")), "idf"
+        known.join(counts, "term", "left").select("term", (F.lit(rest) - F.log(1 + F.coalesce("count", F.lit(0)))).alias("idf")), "idf"
     )
     vectors = settled(term_weights(base, idf, F.lit(rest), ["license", "template"]), "templates")
     # Heaviest terms first; a term belongs to the prefix while what follows could still reach the threshold.
     heavy = Window.partitionBy("license", "template").orderBy(F.desc("weight"), "term")
     left = F.sum((F.col("weight") / F.col("norm")) ** 2).over(heavy.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    prefix = settled(vectors.withColumn("left", F.sqrt(left)).where(F.col("left") >= least).select("term").distinct(), "prefix")
-
-    lines = files.select("file", F.size(words_of(F.col("text"))).alias("n_words"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    lines = lines.withColumn("words", words_of(F.col("text"))).where(F.size("words") > 0)
-    hit = lines.select("file", "n_words", "line", F.explode("words").alias("term"), F.col("text").alias("line_text")).join(prefix, "term")
-    chosen = settled(
-        hit.select("file", "n_words", "line", "line_text").distinct().select("file", "n_words", "line", words_of(F.col("line_text")).alias("words")),
-        "statements",
-    )
+    # As few as the templates' own words.
+    prefix = sorted({r["term"] for r in vectors.withColumn("left", F.sqrt(left)).where(F.col("left") >= least).select("term").collect()})
+
+    likely = settled(seen.where(F.col("term").isin(prefix)).select("file").distinct(), "likely-files")
+    texts = files.join(likely, "file", "left_semi").groupBy("file").agg(F.any_value("text").alias("text"))
+    sized = settled(texts.withColumn("n_words", F.size(words_of(F.col("text")))), "likely-texts")
+    lines = sized.select("file", "n_words", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    numbered = lines.select("file", "n_words", "line", words_of(F.col("text")).alias("words"))
+    wanted = F.array(*[F.lit(t) for t in prefix]).cast("array<string>")
+    chosen = settled(numbered.where(F.arrays_overlap("words", wanted)), "statements")
     weights = term_weights(chosen, idf, F.lit(rest), ["file", "line"])
     side = vectors.select("license", "template", "term", F.col("weight").alias("t_weight"), F.col("norm").alias("t_norm"))
     scores = (
@@ -103,7 +107,7 @@ def license_scan(files: DataFrame, templates: DataFrame | None = None, least: fl
     named = files.select(
         F.xxhash64("path", F.col("text").cast("string")).alias("file"), F.col("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    found = settled(statements(named.dropDuplicates(["file"]).select("file", "text"), templates, least), "licenses")
+    found = settled(statements(named.select("file", "text"), templates, least), "licenses")
     own = named.select("file", "path").join(found, "file")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     governing = own.where(F.col("path").isNotNull() & (name.isin(*FILE_NAMES) | (F.col("share") >= file_share)))
