@@ -40,6 +40,8 @@ from tidemark.operators.keyed import settled
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Bytes of text cut at once; a unit's hash takes some 50 times its length in passing.
+PART_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -123,8 +125,8 @@ class Cutter:
             a, b = np.array([(number[a], number[b]) for a, b in together]).T
             self.joined[a, b] = True
 
-    def cut(self, texts: list[bytes]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-        """All marked texts in one string, the units' starts and ends in it, and each text's first unit."""
+    def cut(self, texts: list[bytes]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All marked texts in one string, its code points, the units' starts and ends, and each text's first unit."""
         marked = [MARK + t.decode("utf-8", "replace").replace(" ", MARK) if t else "" for t in texts]
         whole = "".join(marked)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
@@ -135,11 +137,10 @@ class Cutter:
         first_char = np.cumsum(size) - size
         begins[first_char[size > 0]] = True
         starts = np.flatnonzero(begins)
-        return whole, starts, np.append(starts[1:], len(points)), np.searchsorted(starts, first_char)
+        return whole, points, starts, np.append(starts[1:], len(points)), np.searchsorted(starts, first_char)
 
 
-def unit_hashes(whole: str, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.uint64)
+def unit_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     size = ends - starts
     h = size.astype(np.uint64) + np.uint64(seed)
     step = np.uint64(0x9E3779B97F4A7C15)
@@ -159,9 +160,9 @@ def corpus_units(docs: DataFrame, pieces: Pieces, seed: int) -> DataFrame:
         cutter = Cutter(pieces.text)
         for b in batches:
             texts = as_bytes(b.column(0))
-            for i, j in slices(texts):
-                whole, starts, ends, _ = cutter.cut(texts[i:j])
-                h, first, n = np.unique(unit_hashes(whole, starts, ends, seed), return_index=True, return_counts=True)
+            for i, j in slices(texts, PART_BYTES):
+                whole, points, starts, ends, _ = cutter.cut(texts[i:j])
+                h, first, n = np.unique(unit_hashes(points, starts, ends, seed), return_index=True, return_counts=True)
                 units = [whole[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(units, pa.string()), pa.array(n)], names=["hash", "unit", "n"])
 
@@ -323,13 +324,13 @@ def encode_texts(
         for b in batches:
             text_at = len(keep) + (1 if complete else 0)
             texts = as_bytes(b.column(text_at))
-            for i, j in slices(texts):
+            for i, j in slices(texts, PART_BYTES):
                 part = texts[i:j]
-                whole, starts, ends, first = cutter.cut(part)
+                _, points, starts, ends, first = cutter.cut(part)
                 extra = None
                 if complete:
                     extra = {h["hash"]: np.array(h["ids"], np.int32) for hs in b.column(text_at + 1).slice(i, j - i).to_pylist() for h in hs}
-                found = assembler.ids(unit_hashes(whole, starts, ends, seed), first, extra)
+                found = assembler.ids(unit_hashes(points, starts, ends, seed), first, extra)
                 lacking = [sorted(f) if isinstance(f, set) else None for f in found]
                 none = (None,) * len(new)
                 made = [none if isinstance(f, set) else emit(t, spell_unknown(f, pieces), decoder) for t, f in zip(part, found, strict=True)]
