@@ -166,6 +166,11 @@ FROM docs LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS com
 """
 
 _RULES = Rules()
+_GRAMS = " UNION ALL ".join(
+    f"SELECT r, {n} AS n, i, g FROM (SELECT r, i, count(*) OVER span AS have, string_agg(x, ' ') OVER span AS g FROM word "
+    f"WINDOW span AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE have = {n}"
+    for n in [3, *(n for n, _ in _RULES.gram_shares)]
+)
 _LIMITS = ", ".join(f"({n}, {share})" for n, share in _RULES.gram_shares)
 OP10_SQL = f"""
 WITH docs AS (
@@ -181,13 +186,12 @@ lines AS (
 ),
 line AS (SELECT r, sum(n - 1) AS n_dup_lines, sum((n - 1) * chars) AS dup_chars FROM lines GROUP BY r),
 lengths(n, most) AS (VALUES (3, NULL), {_LIMITS}),
-grams AS (
-  SELECT r, n, i, count(*) OVER (PARTITION BY r, n, array_to_string(w[i : i + n - 1], ' ')) AS times
-  FROM docs, lengths, unnest(range(1, len(w) - n + 2)) AS t(i)
-),
-inside AS (SELECT DISTINCT r, n, p FROM grams, unnest(range(i, i + n)) AS t(p) WHERE times > 1),
+word AS (SELECT r, i, x FROM docs, unnest(w) WITH ORDINALITY AS u(x, i)),
+grams AS ({_GRAMS}),
+again AS (SELECT r, n, i FROM (SELECT *, count(*) OVER (PARTITION BY r, n, g) AS times FROM grams) WHERE times > 1),
+inside AS (SELECT DISTINCT r, n, p FROM again, unnest(range(i, i + n)) AS t(p)),
 shares AS (
-  SELECT r, n, count(*) AS words, sum(length(w[p])) AS chars FROM inside JOIN docs USING (r) GROUP BY r, n
+  SELECT inside.r, n, count(*) AS words, sum(length(x)) AS chars FROM inside JOIN word ON word.r = inside.r AND i = p GROUP BY ALL
 ),
 repeats AS (
   SELECT r, coalesce(max(words) FILTER (n = 3), 0) AS n_repeat_words,
