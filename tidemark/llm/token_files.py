@@ -145,6 +145,8 @@ def read_token_files(spark: SparkSession, folder: str, shards: DataFrame) -> Dat
 
     Only listed shards count. Damaged or missing files are an error, never fewer rows.
     """
+    if not shards.take(1):  # then there is no folder either
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
     w = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per shard file.
     begins = shards.withColumn("before", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
