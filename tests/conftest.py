@@ -17,6 +17,7 @@ def make_session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", str(Path(__file__).resolve().parents[1] / "spark-warehouse" / "shared"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -29,7 +29,7 @@ def utc(df):
 
 def test_price_rows_are_typed_and_named(spark, tmp_path):
     path = price_file(tmp_path / "p.tsv", price("2024-03-10", 1, "59,80"), price("2024-03-10", 2, "62,50"), price("2024-03-10", 3, "110,25"))
-    df = files.read_price_tsv(spark, path)
+    df = files.read_price_tsv(spark, path, barra="Quillota 220kV")
     assert [f"{f.name}:{f.dataType.simpleString()}" for f in df.schema] == ["datetime:timestamp", "barra:string", "cmg_usd_mwh:double"]
     assert utc(df) == [("2024-03-10 03:00:00", 59.8), ("2024-03-10 04:00:00", 62.5), ("2024-03-10 05:00:00", 110.25)]
     assert {r["barra"] for r in df.collect()} == {"Quillota 220kV"}
@@ -41,10 +41,18 @@ def test_bus_codes_translate_when_no_constant_is_given(spark, tmp_path):
     assert {r["barra"]: r["cmg_usd_mwh"] for r in df.collect()} == {"North": 1.0, "BA09": 2.0}
 
 
-def test_bad_times_go_to_quarantine_and_short_rows_are_set_apart(spark, tmp_path):
+def test_unusable_lines_are_rejected_with_a_reason_and_short_ones_kept(spark, tmp_path):
+    short, long = price("2024-03-10", 4, "7")[:6], (*price("2024-03-10", 5, "8"), "more")
+    path = price_file(
+        tmp_path / "p.tsv", price("2024-03-10", 1, "1"), price("2024-99-10", 1, "2"), price("2024-03-10", "x", "3"), ("cut", "off"), short, long
+    )
+    assert utc(files.read_price_tsv(spark, path)) == [("2024-03-10 03:00:00", 1.0), ("2024-03-10 06:00:00", 7.0)]
+    bad = files.rejected_prices(spark, path).orderBy("line").collect()
+    assert [r["reason"] for r in bad] == ["too many cells", "no usable time", "no usable time", "no usable time"] or sorted(
+        r["reason"] for r in bad
+    ) == ["no usable time"] * 3 + ["too many cells"]
+    assert bad[-1]["line"] == "cut\toff" and all(r["file"].endswith("p.tsv") for r in bad)
     path = price_file(tmp_path / "p.tsv", price("2024-03-10", 1, "1"), price("2024-99-10", 1, "2"), price("2024-03-10", "x", "3"), ("cut", "off"))
-    good, bad = files.quarantine(files.read_price_tsv(spark, path), ["datetime"])
-    assert good.count() == 1 and bad.count() == 2
     fitting, misfit = files.scan_glob(spark, path, files.text_schema(files.PRICE_COLUMNS), sep="\t")
     assert fitting.select("fecha").count() == 3 and misfit.select("_corrupt").first()[0] == "cut\toff"
 
@@ -152,7 +160,7 @@ def test_predictions_are_filtered_and_written_once(spark, tmp_path):
             [(0, 1.23456, 2.0, 1), (1, float("nan"), 2.0, 1), (2, None, 2.0, 1), (3, 3.0, float("inf"), 24), (4, 3.0, 1.0, 25)]]
     df = spark.createDataFrame(rows, "datetime timestamp, predicted double, actual double, h int")
     shape = {"barra": "Quillota 220kV", "model_name": "m", "model_version": "1.0", "horizon_h": "h"}
-    assert tables.write_predictions(spark, df, str(tmp_path), **shape)["inserted"] == 2
+    assert tables.write_predictions(spark, df, str(tmp_path), **shape) == {"attempted": 5, "inserted": 2, "ignored": 0, "rejected": 3}
     assert tables.write_predictions(spark, df, str(tmp_path), **shape)["inserted"] == 0
     stored = tables.read_table(spark, f"{tmp_path}/predictions", PREDICTIONS).orderBy("datetime").collect()
     assert [(float(r["predicted_cmg"]), r["actual_cmg"] and float(r["actual_cmg"]), r["horizon_h"]) for r in stored] == [
@@ -172,7 +180,10 @@ def config(tmp_path, **more):
 
 def test_backfill_loads_each_source_once_even_if_one_is_broken(spark, tmp_path):
     cfg = config(tmp_path, reservoirs=str(tmp_path / "missing.csv"))
-    assert backfill(spark, cfg) == {"cmg": 96, "generation": 96, "reservoirs": 0, "weather": 4}
+    loaded = backfill(spark, cfg)
+    assert loaded == {"cmg": 96, "generation": 96, "reservoirs": 0, "weather": 4}
+    assert list(loaded.failed) == ["reservoirs"]
+    assert loaded.details["cmg"] == {"attempted": 96, "inserted": 96, "ignored": 0, "rejected": 0}
     assert backfill(spark, config(tmp_path)) == {"cmg": 0, "generation": 0, "reservoirs": 1, "weather": 0}
     stored = tables.read_table(spark, f"{cfg.root}/marginal_costs", PRICES)
     assert stored.where("is_imputed").count() == 2
@@ -190,6 +201,20 @@ def test_incremental_load_takes_one_day(spark, tmp_path):
     assert backfill(spark, cfg)["cmg"] == 48
 
 
+def test_two_buses_rejected_lines_and_unreadable_overlaps(spark, tmp_path):
+    day = "2024-01-10"
+    price_file(tmp_path / "a.tsv", *[price(day, h, "50,0", bus) for bus in ("BA01", "BA02") for h in range(1, 25)], ("cut", "off"))
+    price_file(tmp_path / "b.tsv", price(day, 7, "?", "BA01"), price(day, 8, "", "BA02"))
+    cfg = LoadConfig(root=str(tmp_path / "out"), prices=[str(tmp_path / "a.tsv"), str(tmp_path / "b.tsv")])
+    loaded = backfill(spark, cfg)
+    assert loaded.details["cmg"] == {"attempted": 49, "inserted": 48, "ignored": 0, "rejected": 1} and not loaded.failed
+    stored = tables.read_table(spark, f"{cfg.root}/marginal_costs", PRICES)
+    assert stored.where("is_imputed").count() == 0 and {r[0] for r in stored.select("barra").collect()} == {"BA01", "BA02"}
+    assert spark.read.parquet(f"{cfg.root}/quarantine/prices").select("line", "reason").collect() == [("cut\toff", "no usable time")]
+    again = backfill(spark, cfg).details["cmg"]
+    assert again == {"attempted": 49, "inserted": 0, "ignored": 48, "rejected": 1}
+
+
 def test_arriving_files_are_loaded_once_and_late_rows_fill_holes(spark, tmp_path):
     box = tmp_path / "box"
     box.mkdir()

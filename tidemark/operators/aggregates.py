@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import month_floor, round_to
+from tidemark.functions import is_finite, month_floor, round_to
 from tidemark.operators.joins import regularize_hourly, reindex_domain
 from tidemark.operators.keyed import keyed_join, require_keys, settled
 from tidemark.operators.quantiles import median_exact, quantile_exact
@@ -111,12 +111,13 @@ def split_stats(df: DataFrame, keys: Sequence[str], value: str, split: str = "sp
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
-    """Equal-width bins between each key's extremes, all bins present, last bin closed.
+    """Equal-width bins between each key's finite extremes, all bins present, last bin closed.
 
     If all values are equal the range is widened by one half on either side.
     """
     keys = require_keys(keys)
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    number = F.col(value).cast("double")
+    known = df.where(is_finite(number)).select(*keys, number.alias("_v"))
     ends = known.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     flat = F.col("_lo") == F.col("_hi")
     ends = ends.withColumns(
@@ -159,10 +160,10 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, keys: Sequence[str], target: str, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of the target with each column over rows where both are known."""
+    """Pearson correlation of the target with each column over rows where both are known, largest first."""
     both = [F.corr(F.col(target).cast("double"), F.col(c).cast("double")).alias(c) for c in cols]
     wide = df.groupBy(*require_keys(keys)).agg(*both)
-    return wide.unpivot(list(keys), list(cols), "variable", "correlation")
+    return wide.unpivot(list(keys), list(cols), "variable", "correlation").orderBy(*keys, F.desc("correlation"), "variable")
 
 
 def linear_trend(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int = 200) -> DataFrame:

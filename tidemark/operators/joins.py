@@ -42,13 +42,16 @@ def join_feature_store(
 ) -> DataFrame:
     """Hourly wide table: every price row, with whatever the other tables know about its hour.
 
-    Slow tables match on the local calendar date.
+    Slow tables match on the local calendar date. Weather is that of ``region``, which must be given:
+    without it a price row would meet the weather of every region.
     """
+    if region is None:
+        raise ValueError("region must be given")
     base = prices if barra is None else prices.where(F.col("barra") == barra)
     base = base.withColumn("datetime_local", utc_to_local(F.col("datetime"), tz)).withColumn(
         "date_local", F.to_date("datetime_local")
     )
-    sky = weather if region is None else weather.where(F.col("region") == region)
+    sky = weather.where(F.col("region") == region)
     levels = reservoirs.select(F.col("date").alias("date_local"), F.col("energy_gwh").alias("reservoir_gwh"))
     sky = sky.select(F.col("date").alias("date_local"), "temp_max_c", "precip_mm")
     wide = (
@@ -92,7 +95,7 @@ def asof_ffill(
     is an equi-join on (keys, day) with the exact bounds as a residual condition, and only the
     slow side is looked at twice. A matched slow row counts even if its value is NULL.
     ``bfill_missing`` then fills what is still NULL from the next fast row of the same series,
-    which looks into the future.
+    which looks into the future. Two slow rows of one key at one time are an error.
 
     ``keys`` may be empty when one slow series serves all fast rows; then at most one slow row
     per time is allowed, so the slow side is bounded by its time span.
@@ -102,6 +105,8 @@ def asof_ffill(
     last_day = slow.agg(F.to_date(F.max(moment))).scalar()
     ordered = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_from")
     spans = slow.select(*keys, moment.alias("_from"), *cols).withColumn("_to", F.lead("_from").over(ordered))
+    twice = F.raise_error(F.lit("several slow rows of one key at one time"))
+    spans = spans.withColumn("_to", F.when(F.col("_to") == F.col("_from"), twice.cast("timestamp")).otherwise(F.col("_to")))
     until = F.coalesce(F.to_date("_to"), last_day)
     days = spans.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), until, F.expr("INTERVAL 1 DAY"))))
     names = {k: f"__{k}" for k in keys}
@@ -130,12 +135,21 @@ def anti_existing(df: DataFrame, target: DataFrame, keys: Sequence[str]) -> Data
 
 
 def reindex_domain(df: DataFrame, keys: Sequence[str], column: str, first: int, last: int) -> DataFrame:
-    """Give every key a row for each integer of the domain; missing cells are NULL."""
+    """Give every key a row for each integer of the domain; missing cells are NULL.
+
+    A key has one row per integer at most, so its rows fit into one map, from which the domain is
+    read back; the input is read once. Integers outside the domain are left out.
+    """
     keys = require_keys(keys)
     kind = df.schema[column].dataType
-    grid = df.select(*keys).distinct().withColumn(column, F.explode(F.sequence(F.lit(first), F.lit(last))))
-    grid = grid.withColumn(column, F.col(column).cast(kind))
-    return keyed_join(grid, df, [*keys, column], "left").select(*df.columns)
+    rest = [c for c in df.columns if c not in keys and c != column]
+    at = F.col(column).cast("int")
+    cell = F.struct(at.alias("at"), F.struct(*rest).alias("row") if rest else F.lit(0).alias("row"))
+    cells = F.map_from_entries(F.collect_list(F.when(at.between(first, last), cell))).alias("_cells")
+    every = df.groupBy(*keys).agg(cells).withColumn("_at", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    found = F.try_element_at("_cells", F.col("_at"))
+    made = {column: F.col("_at").cast(kind)} | {c: found[c] for c in rest}
+    return every.select(*[F.col(c) if c in keys else made[c].alias(c) for c in df.columns])
 
 
 def regularize_hourly(df: DataFrame, keys: Sequence[str], ts: str, step_hours: int = 1) -> DataFrame:

@@ -79,8 +79,9 @@ def best_per_metric(metrics: DataFrame, model: str) -> DataFrame:
 
 
 def mae_by_hour(df: DataFrame, by: Sequence[str], hour: str, actual: str, predicted: str) -> DataFrame:
-    """Mean absolute error per local hour, all 24 hours present."""
-    errors = df.withColumn("_err", abs_error(F.col(actual), F.col(predicted)))
+    """Mean absolute error per local hour over finite pairs, all 24 hours present."""
+    error = abs_error(F.col(actual), F.col(predicted))
+    errors = df.withColumn("_err", F.when(is_finite(error), error))
     found = profile_mean(errors, by, hour, "_err").withColumnRenamed("mean", "mae")
     return reindex_domain(found, by, hour, 0, 23)
 

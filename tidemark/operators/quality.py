@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_NULL_SHARE = 0.05
 
 
-def data_quality(df: DataFrame, ts: str | None = "datetime", max_null: float = MAX_NULL_SHARE) -> DataFrame:
+def data_quality(
+    df: DataFrame, ts: str | None = "datetime", max_null: float = MAX_NULL_SHARE, keys: Sequence[str] = ()
+) -> DataFrame:
     """One row per check and column: rows concerned, share of all rows, and whether it passes.
 
-    Checks: a column that is NULL throughout, a column with too many NULLs, repeated times. A
+    Checks: a column that is NULL throughout, a column with too many NULLs, times repeated within
+    one of the ``keys``. A
     missing time column is reported as a passed ``no_time_column`` row, because it only warns.
     An empty frame passes the share check; its columns count as NULL throughout.
     """
@@ -19,9 +24,8 @@ def data_quality(df: DataFrame, ts: str | None = "datetime", max_null: float = M
     counts = [F.count(F.lit(1)).alias("_rows")]
     counts += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"_null_{i}") for i, c in enumerate(df.columns)]
     if timed:
-        repeats = F.count(F.lit(1)) - F.count_distinct(ts)
-        # NULL times count as one more distinct time.
-        counts.append((repeats - F.when(F.count_if(F.col(ts).isNull()) > 0, 1).otherwise(0)).alias("_repeats"))
+        # As a struct, so that NULL keys and times count like any other.
+        counts.append((F.count(F.lit(1)) - F.count_distinct(F.struct(*keys, ts))).alias("_repeats"))
     one = df.agg(*counts)
     rows = F.col("_rows")
 

@@ -117,14 +117,17 @@ def _bracketed_quantiles(
     # A rank just outside its bracket is the neighbouring value that was kept for this case.
     out = []
     for i, name in enumerate(names):
-        lo = F.coalesce(F.col(f"_lo{i}"), F.col(f"_under{i}"))
-        hi = F.coalesce(F.col(f"_hi{i}"), F.col(f"_over{i}"))
+        below, over = F.floor(place(i)) < F.col(f"_below{i}"), F.ceil(place(i)) < F.col(f"_below{i}")
+        lo = F.coalesce(F.col(f"_lo{i}"), F.when(below, F.col(f"_under{i}")).otherwise(F.col(f"_over{i}")))
+        hi = F.coalesce(F.col(f"_hi{i}"), F.when(over, F.col(f"_under{i}")).otherwise(F.col(f"_over{i}")))
         share = place(i) - F.floor(place(i))
+        # Between equal values, infinite ones included, and exactly on a value there is nothing to interpolate.
+        value = F.when((share == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * share)
         known_rank = (F.col(f"_below{i}") <= F.floor(place(i)) + 1) & (
             F.ceil(place(i)) <= F.col(f"_below{i}") + F.col(f"_inside{i}")
         )
         failed = F.raise_error(F.lit("quantile bracket misses its rank; lower the accuracy")).cast("double")
-        out.append(F.when(known_rank, lo + (hi - lo) * share).otherwise(failed).alias(name))
+        out.append(F.when(known_rank, value).otherwise(failed).alias(name))
     return picked.select(*keys, *out)
 
 

@@ -178,7 +178,9 @@ def sliding_sequences(
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], tie_break: Sequence[str]) -> DataFrame:
-    """One row per key, the smallest by ``tie_break`` and then by the remaining columns.
+    """One row per key: the one with the fewest NULLs, then the smallest by ``tie_break`` and the remaining columns.
+
+    NULL is the largest value, so that an unreadable cell never takes the place of a known one.
 
     An aggregate rather than a ranking window: copies collapse before the shuffle, so a key
     with very many copies costs no more than any other.
@@ -188,8 +190,11 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], tie_break: Sequence[str]) -
     ordered = [*[c for c in tie_break if c in rest], *[c for c in rest if c not in tie_break]]
     if not ordered:
         return df.select(*keys).distinct()
-    first = df.groupBy(*keys).agg(F.min(F.struct(*ordered)).alias("_first"))
-    return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    holes = sum((F.col(c).isNull().cast("int") for c in rest if c not in tie_break), F.lit(0))
+    order = [x for i, c in enumerate(ordered) for x in (F.col(c).isNull().alias(f"_null{i}"), F.col(c).alias(f"_cell{i}"))]
+    first = df.groupBy(*keys).agg(F.min(F.struct(holes.alias("_holes"), *order)).alias("_first"))
+    cells = {c: F.col(f"_first._cell{i}").alias(c) for i, c in enumerate(ordered)}
+    return first.select(*[F.col(c) if c in keys else cells[c] for c in df.columns])
 
 
 def first_n_days(df: DataFrame, keys: Sequence[str], ts: str, days: int = 30) -> DataFrame:

@@ -16,17 +16,16 @@ from tidemark.operators.selection import union_files
 from tidemark.operators.windows import dedupe_first
 from tidemark.plans.cleaning import IMPUTER_TREES, clean_generation, clean_prices
 from tidemark.session import prepare
-from tidemark.sinks.tables import load_table, read_table
+from tidemark.sinks.tables import load_table, read_table, with_rejected
 from tidemark.sources.files import (
-    DEFAULT_BARRA,
     DEFAULT_REGION,
     RESERVOIR_FROM_YEAR,
     RESERVOIRS,
-    quarantine,
     read_generation_tsv,
     read_price_tsv,
     read_reservoir_csv,
     read_weather_json,
+    rejected_prices,
 )
 from tidemark.sources.schemas import PRICES
 
@@ -42,7 +41,7 @@ class LoadConfig:
     generation: str | Sequence[str] | None = None
     reservoirs: str | Sequence[str] | None = None
     weather: str | Sequence[str] | None = None
-    barra: str | None = DEFAULT_BARRA
+    barra: str | None = None
     bus_map: Mapping[str, str] | None = None
     region: str = DEFAULT_REGION
     reservoir_names: Sequence[str] = RESERVOIRS
@@ -55,12 +54,14 @@ def _prices(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> Dat
     rows = read_price_tsv(spark, cfg.prices, cfg.bus_map, cfg.barra, cfg.tz, keep_hour=True)
     if day is not None:
         rows = rows.where(F.col("file_date") == F.lit(day).cast("date"))
-    timed, _ = quarantine(rows, ["datetime", "barra"])
-    # The hour a spring change repeats: the earlier file hour counts.
-    return dedupe_first(timed, ["datetime", "barra"], ["file_hour"]).drop("file_date", "file_hour")
+    # The hour a spring change repeats: the earlier file hour counts, unless its price is unreadable.
+    return dedupe_first(rows.drop("file_date"), ["datetime", "barra"], ["file_hour"]).drop("file_hour")
 
 
-def load_prices(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> int:
+def load_prices(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> dict[str, int]:
+    """Clean and insert prices; lines that cannot be used are stored below ``quarantine``, with file and reason."""
+    rejected = f"{cfg.root}/quarantine/prices"
+    rejected_prices(spark, cfg.prices, cfg.tz).write.mode("overwrite").parquet(rejected)
     raw = _prices(spark, cfg, day)
     if day is not None:
         raw = settled(_with_context(spark, cfg, raw, day), "prices")
@@ -68,7 +69,8 @@ def load_prices(spark: SparkSession, cfg: LoadConfig, day: str | None = None) ->
     clean = settled(clean_prices(raw.drop("_new"), trees=cfg.trees), "clean-prices")
     if day is not None:
         clean = clean.join(raw.where("_new").select("barra", "datetime"), ["barra", "datetime"], "left_semi")
-    return load_table(spark, clean, cfg.root, "marginal_costs")["inserted"]
+    summary = load_table(spark, clean, cfg.root, "marginal_costs")
+    return with_rejected(summary, spark.read.parquet(rejected).count())
 
 
 def _with_context(spark: SparkSession, cfg: LoadConfig, new: DataFrame, day: str, days: int = 14) -> DataFrame:
@@ -86,28 +88,28 @@ def _with_context(spark: SparkSession, cfg: LoadConfig, new: DataFrame, day: str
     return union_files(new.withColumn("_new", F.lit(True)), earlier)
 
 
-def load_generation(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> int:
+def load_generation(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> dict[str, int]:
     rows = read_generation_tsv(spark, cfg.generation, tz=cfg.tz)
     if day is not None:
         rows = _local_day(rows, "datetime", day, cfg.tz)
     rows = settled(rows, "generation")
     clean = clean_generation(tag_constant(rows, "_series", "all"), ["_series"], tz=cfg.tz).drop("_series")
-    return load_table(spark, settled(clean, "clean-generation"), cfg.root, "generation_by_tech")["inserted"]
+    return load_table(spark, settled(clean, "clean-generation"), cfg.root, "generation_by_tech")
 
 
-def load_reservoirs(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> int:
+def load_reservoirs(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> dict[str, int]:
     rows = read_reservoir_csv(spark, cfg.reservoirs, cfg.reservoir_names, cfg.reservoir_from_year)
     if day is not None:
         rows = rows.where(F.col("date") == F.trunc(F.lit(day).cast("date"), "MM"))
     levels = rename_proxy(rows, "avg_cota_msnm", "energy_gwh").drop("n_embalses")
-    return load_table(spark, levels, cfg.root, "reservoir_levels")["inserted"]
+    return load_table(spark, levels, cfg.root, "reservoir_levels")
 
 
-def load_weather(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> int:
+def load_weather(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> dict[str, int]:
     rows = read_weather_json(spark, cfg.weather, cfg.region)
     if day is not None:
         rows = rows.where(F.col("date") == F.lit(day).cast("date"))
-    return load_table(spark, rows, cfg.root, "weather")["inserted"]
+    return load_table(spark, rows, cfg.root, "weather")
 
 
 def _local_day(df: DataFrame, ts: str, day: str, tz: str) -> DataFrame:
@@ -116,7 +118,17 @@ def _local_day(df: DataFrame, ts: str, day: str, tz: str) -> DataFrame:
     return df.where((F.col(ts) >= start) & (F.col(ts) < end))
 
 
-STEPS: dict[str, tuple[str, Callable[..., int]]] = {
+class Loaded(dict):
+    """Rows inserted per source. ``details``: attempted, inserted, ignored and rejected rows of each source
+    that was loaded; ``failed``: the error of each source that could not be."""
+
+    def __init__(self, steps):
+        super().__init__(dict.fromkeys(steps, 0))
+        self.details: dict[str, dict[str, int]] = {}
+        self.failed: dict[str, str] = {}
+
+
+STEPS: dict[str, tuple[str, Callable[..., dict[str, int]]]] = {
     "cmg": ("prices", load_prices),
     "generation": ("generation", load_generation),
     "reservoirs": ("reservoirs", load_reservoirs),
@@ -124,26 +136,28 @@ STEPS: dict[str, tuple[str, Callable[..., int]]] = {
 }
 
 
-def _run(spark: SparkSession, cfg: LoadConfig, day: str | None) -> dict[str, int]:
+def _run(spark: SparkSession, cfg: LoadConfig, day: str | None) -> Loaded:
     prepare(spark)
-    inserted = dict.fromkeys(STEPS, 0)
+    loaded = Loaded(STEPS)
     for name, (source, load) in STEPS.items():
         if not getattr(cfg, source):
             log.warning("no paths for %s, skipped", source)
             continue
         try:
-            inserted[name] = load(spark, cfg, day)
-        except Exception:
+            loaded.details[name] = load(spark, cfg, day)
+            loaded[name] = loaded.details[name]["inserted"]
+        except Exception as error:
             # One broken source must not keep the others from loading.
             log.exception("loading %s failed", source)
-    return inserted
+            loaded.failed[name] = str(error)
+    return loaded
 
 
-def backfill(spark: SparkSession, cfg: LoadConfig) -> dict[str, int]:
-    """Load all sources independently; rows inserted per table."""
+def backfill(spark: SparkSession, cfg: LoadConfig) -> Loaded:
+    """Load all sources independently; rows inserted per source, with counts and failures."""
     return _run(spark, cfg, None)
 
 
-def incremental_load(spark: SparkSession, cfg: LoadConfig, day: str) -> dict[str, int]:
+def incremental_load(spark: SparkSession, cfg: LoadConfig, day: str) -> Loaded:
     """The same loads for one local day. A late row fills a hole and never overwrites."""
     return _run(spark, cfg, day)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,22 +17,32 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the one given with ``setCheckpointDir``.
 
-    Only a local master, where driver and executors are one process, may fall back to
-    a temporary folder.
+    If neither is set, the warehouse, which is shared like any table in it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.gettempdir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+#: This process's own folder below the shared one; removed when the process ends.
+RUN = f"run-{uuid.uuid4().hex}"
+_removed_at_exit: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A fresh, unused path below the shared folder, kept until this process ends."""
+    root = f"{shared_dir(spark)}/tidemark/{RUN}"
+    if root not in _removed_at_exit:
+        _removed_at_exit.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

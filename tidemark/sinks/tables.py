@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.functions import is_finite
 from tidemark.operators.joins import anti_existing
@@ -21,15 +20,15 @@ from tidemark.sources.schemas import KEYS, PREDICTIONS, REQUIRED, TABLES, fit_sc
 MONTH = "month"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The stored table with its month partition column; empty if nothing was written yet."""
     full = T.StructType([*schema.fields, T.StructField(MONTH, T.StringType())])
-    try:
-        return spark.read.schema(full).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path) if exists(spark, path) else spark.createDataFrame([], full)
 
 
 def with_month(df: DataFrame, ts: str) -> DataFrame:
@@ -90,13 +89,24 @@ def insert_if_absent(
 
 
 def load_table(spark: SparkSession, df: DataFrame, root: str, table: str, tie_break: Sequence[str] = ()) -> dict[str, int]:
-    """Insert into one of the known tables below ``root``; rows lacking a required cell are left out."""
+    """Insert into one of the known tables below ``root``.
+
+    Rows lacking a required cell are not stored but counted, as ``rejected``: attempted is the sum of
+    inserted, ignored and rejected.
+    """
+    watch = Observation()
+    df = df.observe(watch, F.count(F.lit(1)).alias("given"))
     schema, keys = TABLES[table], KEYS[table]
     helpers = [c for c in tie_break if c not in schema.fieldNames()]
     known = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns], *helpers)
-    return insert_if_absent(
-        spark, known.dropna(subset=list(REQUIRED[table])), f"{root}/{table}", keys, tie_break, schema, keys[0]
-    )
+    complete = known.dropna(subset=list(REQUIRED[table]))
+    summary = insert_if_absent(spark, complete, f"{root}/{table}", keys, tie_break, schema, keys[0])
+    return with_rejected(summary, watch.get["given"] - summary["attempted"])
+
+
+def with_rejected(summary: dict[str, int], rejected: int) -> dict[str, int]:
+    """Count rows that were given but not fit to store."""
+    return summary | {"attempted": summary["attempted"] + rejected, "rejected": summary.get("rejected", 0) + rejected}
 
 
 def shape_predictions(
@@ -119,8 +129,11 @@ def shape_predictions(
 
 
 def write_predictions(spark: SparkSession, df: DataFrame, root: str, **shape) -> dict[str, int]:
-    """Insert predictions that are not stored yet."""
-    return load_table(spark, shape_predictions(df, **shape), root, "predictions")
+    """Insert predictions that are not stored yet; those not finite or outside the horizon count as rejected."""
+    watch = Observation()
+    shaped = shape_predictions(df.observe(watch, F.count(F.lit(1)).alias("given")), **shape)
+    summary = load_table(spark, shaped, root, "predictions")
+    return with_rejected(summary, watch.get["given"] - summary["attempted"])
 
 
 def write_metrics_csv(metrics: DataFrame, path: str) -> None:

@@ -101,17 +101,39 @@ def text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+# One way to read price lines, for batches and streams: short lines keep the cells they have, and a
+# line that does not have exactly the expected cells is also there as it stands.
+PRICE_SCHEMA = text_schema((*PRICE_COLUMNS, "_corrupt"))
+PRICE_OPTIONS = {
+    "sep": "\t", "header": "true", "encoding": "UTF-8", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
+    "enforceSchema": "true", "columnPruning": "false",
+}
+
+
+def price_cells(raw: DataFrame) -> DataFrame:
+    """Cells as text with missing-value tokens NULL, the file, the line, and its number of cells."""
+    cells = [F.col(c) for c in PRICE_COLUMNS]
+    line = F.coalesce(F.col("_corrupt"), F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in cells]))
+    n_cells = F.when(F.col("_corrupt").isNull(), len(PRICE_COLUMNS)).otherwise(F.size(F.split("_corrupt", "\t")))
+    kept = raw.select(*cells, F.col("_metadata.file_path").alias("_file"), line.alias("_line"), n_cells.alias("_cells"))
+    clean = null_tokens(kept.select(*cells, "_file", "_line", "_cells"))
+    return clean
+
+
 def price_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Price files as text columns, named by position whatever their header says."""
     prepare(spark)
-    good, _ = scan_glob(spark, paths, text_schema(PRICE_COLUMNS), sep="\t", encoding="UTF-8")
-    return null_tokens(good.drop("_file"))
+    raw = spark.read.schema(PRICE_SCHEMA).options(**PRICE_OPTIONS).csv(paths if isinstance(paths, str) else list(paths))
+    return price_cells(raw)
 
 
 def type_prices(
-    raw: DataFrame, bus_map: Mapping[str, str] | None = None, barra: str | None = DEFAULT_BARRA, tz: str = DEFAULT_TZ
+    raw: DataFrame, bus_map: Mapping[str, str] | None = None, barra: str | None = None, tz: str = DEFAULT_TZ
 ) -> DataFrame:
-    """Text columns of price files -> typed rows with the file's own date and hour."""
+    """Text columns of price files -> typed rows with the file's own date and hour, file, line, and why it is rejected.
+
+    ``reason`` is NULL for usable rows; a line with too few cells is usable if it has a time and a bus.
+    """
     code = tidy(F.col("barra_mnemotecnico"))
     if barra is not None:
         name = F.lit(barra)
@@ -122,32 +144,48 @@ def type_prices(
         name = code
     date = parse_date_strict(F.col("fecha"), ISO_DATE)
     hour = parse_decimal_comma(F.col("hora")).try_cast("int")
-    return raw.select(
+    typed = raw.select(
         local_to_utc(hour24_to_ts(date, hour), tz).alias("datetime"),
         name.alias("barra"),
         parse_decimal_comma(F.col("costo_en_dolares")).alias("cmg_usd_mwh"),
         date.alias("file_date"),
         hour.alias("file_hour"),
+        F.col("_file").alias("file"),
+        F.col("_line").alias("line"),
+        "_cells",
+    )
+    reason = (
+        F.when(F.col("_cells") > len(PRICE_COLUMNS), "too many cells")
+        .when(F.col("datetime").isNull(), "no usable time")
+        .when(F.col("barra").isNull(), "no bus")
     )
+    return typed.withColumn("reason", reason).drop("_cells")
 
 
 def read_price_tsv(
     spark: SparkSession,
     paths: str | Sequence[str],
     bus_map: Mapping[str, str] | None = None,
-    barra: str | None = DEFAULT_BARRA,
+    barra: str | None = None,
     tz: str = DEFAULT_TZ,
     keep_hour: bool = False,
 ) -> DataFrame:
-    """(datetime, barra, cmg_usd_mwh) from price files.
+    """(datetime, barra, cmg_usd_mwh) of all usable lines of price files.
 
-    ``barra`` names every row; with ``barra=None`` the file's bus code is used, translated by
-    ``bus_map`` where it has an entry, so that files of many buses load together.
-    ``keep_hour`` adds the file's date and hour, the tie-break for the hour a spring change
-    makes occur twice.
+    The bus is the file's code, translated by ``bus_map`` where it has an entry, so that files of
+    many buses load together; ``barra`` gives every row one name instead. ``keep_hour`` adds the
+    file's date and hour, the tie-break for the hour a spring change makes occur twice. The other
+    lines are those of ``rejected_prices``.
     """
     typed = type_prices(price_rows(spark, paths), bus_map, barra, tz)
-    return typed if keep_hour else typed.drop("file_date", "file_hour")
+    usable = typed.where(F.col("reason").isNull()).drop("file", "line", "reason")
+    return usable if keep_hour else usable.drop("file_date", "file_hour")
+
+
+def rejected_prices(spark: SparkSession, paths: str | Sequence[str], tz: str = DEFAULT_TZ) -> DataFrame:
+    """(file, line, reason) of the lines that ``read_price_tsv`` cannot use."""
+    typed = type_prices(price_rows(spark, paths), None, None, tz)
+    return typed.where(F.col("reason").isNotNull()).select("file", "line", "reason")
 
 
 def quarantine(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
