@@ -18,9 +18,9 @@ import numpy as np
 
 HEADER = "<4sIIIII"  # magic, ids, lanes, vocabulary, crc32 of the ids, words
 HEADER_SIZE = struct.calcsize(HEADER)
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 MAX_LANES = 4096
-SLOT_BITS, ID_BITS = 12, 24
+SLOT_BITS, ID_BITS = 12, 20
 CONTEXTS = 1 << 18
 CLASSES = 32
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -35,11 +35,12 @@ class Statistics:
     """What a block's lanes have learned so far; encoder and decoder go through the same states."""
 
     def __init__(self, lanes: int, vocabulary: int):
-        self.last, self.last_sure = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.pair, self.pair_sure = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
+        # Each cell: an id and, in the low four bits, the confidence in it.
+        self.last, self.pair = np.zeros(vocabulary, np.int32), np.zeros(CONTEXTS, np.int32)
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.slots = np.ones((CLASSES, 3), np.int64) * [[2, 2, 4]]
         self.counts, self.fresh, self.steps = np.zeros(vocabulary, np.int64), [], 0
+        self.id_bits, self.ids_at = id_bits(vocabulary), None
         self._weigh()
         self._rank()
 
@@ -53,16 +54,24 @@ class Statistics:
     def _rank(self) -> None:
         """Intervals of all ids by their order-0 counts."""
         total = max(int(self.counts.sum()), 1)
-        size = 1 + self.counts * ((1 << ID_BITS) - len(self.counts)) // total
+        size = 1 + self.counts * ((1 << self.id_bits) - len(self.counts)) // total
         self.id_from = np.zeros(len(self.counts) + 1, np.int64)
         np.cumsum(size, out=self.id_from[1:])
-        self.id_from[-1] = 1 << ID_BITS
+        self.id_from[-1] = 1 << self.id_bits
+        self.ids_at = None
+
+    def id_at(self, values: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold ``values``."""
+        if self.ids_at is None:
+            self.ids_at = np.repeat(np.arange(len(self.counts), dtype=np.int32), np.diff(self.id_from))
+        return self.ids_at[values].astype(np.int64)
 
     def predict(self) -> np.ndarray:
         """Look up both predictions; the class of confidences of each lane."""
         self.at2 = (self.p2 * 40503 + self.p1 * 2654435761 >> 7) & (CONTEXTS - 1)
-        self.guess2, self.sure2 = self.pair[self.at2], self.pair_sure[self.at2]
-        self.guess1, self.sure1 = self.last[self.p1], self.last_sure[self.p1]
+        cell2, cell1 = self.pair[self.at2].astype(np.int64), self.last[self.p1].astype(np.int64)
+        self.guess2, self.sure2 = cell2 >> 4, cell2 & 15
+        self.guess1, self.sure1 = cell1 >> 4, cell1 & 15
         agree = self.guess1 == self.guess2
         self.kind = np.minimum(self.sure2, 3) * 4 + np.minimum(self.sure1, 3) + 16 * agree
         return self.kind
@@ -74,14 +83,14 @@ class Statistics:
 
     def learn(self, ids: np.ndarray, slots: np.ndarray, rest: np.ndarray) -> None:
         """Take in one id per lane; ``rest``: those coded by order 0."""
-        for guess, sure, table, table_sure, at in (
-            (self.guess2, self.sure2, self.pair, self.pair_sure, self.at2),
-            (self.guess1, self.sure1, self.last, self.last_sure, self.p1),
+        for guess, sure, table, at in (
+            (self.guess2, self.sure2, self.pair, self.at2),
+            (self.guess1, self.sure1, self.last, self.p1),
         ):
             right = ids == guess
             stays = right | (sure > 1)
-            table[at] = np.where(stays, guess, ids)
-            table_sure[at] = np.where(right, np.minimum(sure + 1, 15), np.where(stays, sure >> 1, 1))
+            trust = np.where(right, np.minimum(sure + 1, 15), np.where(stays, sure >> 1, 1))
+            table[at] = (np.where(stays, guess, ids) << 4) | trust
         self.slots += np.bincount(self.kind * 3 + slots, minlength=CLASSES * 3).reshape(CLASSES, 3) * 4
         full = self.slots.sum(1) > 1 << 16
         if full.any():
@@ -96,6 +105,11 @@ class Statistics:
             self._rank()
 
 
+def id_bits(vocabulary: int) -> int:
+    """Bits of an order-0 interval; enough for every id to have one and for counts to tell them apart."""
+    return max(ID_BITS, vocabulary.bit_length() + 3)
+
+
 def _shape(n: int) -> tuple[int, int]:
     lanes = max(1, min(MAX_LANES, n // 128))
     return lanes, -(-n // lanes)
@@ -138,7 +152,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         plain = ids_now[rest]
         if len(rest):
             start = stats.id_from[plain]
-            narrow(rest, start, stats.id_from[plain + 1] - start, ID_BITS)
+            narrow(rest, start, stats.id_from[plain + 1] - start, stats.id_bits)
         stats.learn(ids_now, slots, plain)
     # One more word places the code inside the interval.
     out[np.arange(lanes), words] = ((low >> WORD) + ((low & LOW32) != 0)).astype(np.uint32)
@@ -208,10 +222,9 @@ def decode_block(data: bytes, offset: int = 0) -> tuple[np.ndarray, int]:
         rest = np.flatnonzero(slots == 2)
         plain = np.empty(0, np.int64)
         if len(rest):
-            plain = np.searchsorted(stats.id_from, value(rest, ID_BITS), side="right") - 1
-            plain = np.minimum(plain, vocabulary - 1)
+            plain = stats.id_at(value(rest, stats.id_bits))
             start = stats.id_from[plain]
-            narrow(rest, start, stats.id_from[plain + 1] - start, ID_BITS)
+            narrow(rest, start, stats.id_from[plain + 1] - start, stats.id_bits)
             row[rest] = plain
         stats.learn(row.copy(), slots, plain)
     ids = grid.T.ravel()[:n].astype(np.uint32)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -11,8 +12,9 @@ from tokenizers import Tokenizer
 # Unicode White_Space, as the byte-level pre-tokenizer's \\s has it.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The byte-level pre-tokenizer never joins what these cuts separate: it takes a blank together with
-# the word after it if that blank is a space, and blanks before the last by themselves.
-CUT = re.compile(rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+# the word after it if that blank is a space, and blanks before the last by themselves. Nor does it join
+# letters with the sign after them, so that a word is one piece with and without a comma.
+CUT = re.compile(rf" ?[A-Za-z]+(?=[!-&(-/:-@])| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
 class TextEncoder:
@@ -24,6 +26,8 @@ class TextEncoder:
     """
 
     def __init__(self, definition: str, end: int | None = None, remember: int = 1 << 19):
+        # A task has one core; the library's own threads only cost time there.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         spec = json.loads(definition)
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
