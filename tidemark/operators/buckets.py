@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import keyed_join, require_keys
+from tidemark.operators.keyed import require_keys
 
 HOUR = 3600
 SLOT_HOURS = 2160
@@ -31,6 +31,15 @@ def epoch(ts: str) -> Column:
     return F.col(ts).cast("timestamp").cast("long")
 
 
+def series_of(keys: Sequence[str]) -> Column:
+    """The keys in one value that is never NULL, even if keys are.
+
+    Plain equality then joins NULL keys too, and unlike null-safe equality it can use the
+    partitioning that a window on the same columns has just made.
+    """
+    return F.struct(*require_keys(keys))
+
+
 def time_slots(df: DataFrame, ts: str, slot_hours: int = SLOT_HOURS) -> DataFrame:
     """Add ``_slot``, the number of the clock stretch."""
     return df.withColumn("_slot", F.floor(epoch(ts) / F.lit(slot_hours * HOUR)).cast("long"))
@@ -39,9 +48,9 @@ def time_slots(df: DataFrame, ts: str, slot_hours: int = SLOT_HOURS) -> DataFram
 def numbered_in_slots(
     df: DataFrame, keys: Sequence[str], ts: str, slot_hours: int = SLOT_HOURS
 ) -> DataFrame:
-    """Add ``_slot`` and ``_rn``, the 1-based row number within (keys, slot)."""
-    w = W.partitionBy(*require_keys(keys), "_slot").orderBy(ts)
-    return time_slots(df, ts, slot_hours).withColumn("_rn", F.row_number().over(w))
+    """Add ``_series``, ``_slot`` and ``_rn``, the 1-based row number within (keys, slot)."""
+    w = W.partitionBy("_series", "_slot").orderBy(ts)
+    return time_slots(df, ts, slot_hours).withColumn("_series", series_of(keys)).withColumn("_rn", F.row_number().over(w))
 
 
 def row_positions(
@@ -54,11 +63,12 @@ def row_positions(
     count, such as the stored table ``df`` was computed from.
     """
     numbered = numbered_in_slots(df, keys, ts, slot_hours)
-    sizes = time_slots((rows_of or df).select(*keys, ts), ts, slot_hours).groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    placed = keyed_join(numbered, offsets, [*keys, "_slot"])
-    return placed.withColumn("_pos", F.col("_before") + F.col("_rn") - 1).drop("_before", "_rn", "_slot")
+    counted = time_slots((rows_of or df).select(series_of(keys).alias("_series"), ts), ts, slot_hours)
+    sizes = counted.groupBy("_series", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("_series").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_series", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = numbered.join(offsets, ["_series", "_slot"]).withColumn("_pos", F.col("_before") + F.col("_rn") - 1)
+    return placed.select(*df.columns, "_pos")
 
 
 def over_rows(

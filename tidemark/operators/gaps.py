@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.buckets import SLOT_HOURS, numbered_in_slots
-from tidemark.operators.keyed import keyed_join, require_keys
+from tidemark.operators.keyed import require_keys
 
 FILL_LIMIT = 3
 
@@ -36,15 +36,15 @@ def _with_neighbours(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
     for c in cols:
         cell = _placed("_rn", f"`{c}`", f"`{c}`")
         ends += [F.min(cell).alias(f"_first_{c}"), F.max(cell).alias(f"_last_{c}")]
-    summary = numbered.groupBy(*keys, "_slot").agg(*ends)
+    summary = numbered.groupBy("_series", "_slot").agg(*ends)
 
-    along = W.partitionBy(*keys).orderBy("_slot")
-    back = W.partitionBy(*keys).orderBy(F.col("_slot").desc())
+    along = W.partitionBy("_series").orderBy("_slot")
+    back = W.partitionBy("_series").orderBy(F.col("_slot").desc())
     before = along.rowsBetween(W.unboundedPreceding, -1)
     summary = summary.withColumns(
         {
             "_off": F.coalesce(F.sum("_n").over(before), F.lit(0)),
-            "_rows": F.sum("_n").over(W.partitionBy(*keys)),
+            "_rows": F.sum("_n").over(W.partitionBy("_series")),
         }
     )
 
@@ -57,11 +57,11 @@ def _with_neighbours(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
         carried[f"_carry_next_{c}"] = F.last(shifted(f"_first_{c}"), ignorenulls=True).over(
             back.rowsBetween(W.unboundedPreceding, -1)
         )
-    summary = summary.withColumns(carried).select(*keys, "_slot", "_off", "_rows", *carried)
+    summary = summary.withColumns(carried).select("_series", "_slot", "_off", "_rows", *carried)
 
-    joined = keyed_join(numbered, summary, [*keys, "_slot"]).withColumn("_pos", F.col("_off") + F.col("_rn"))
-    ahead = W.partitionBy(*keys, "_slot").orderBy("_rn").rowsBetween(W.unboundedPreceding, 0)
-    behind = W.partitionBy(*keys, "_slot").orderBy(F.col("_rn").desc()).rowsBetween(W.unboundedPreceding, 0)
+    joined = numbered.join(summary, ["_series", "_slot"]).withColumn("_pos", F.col("_off") + F.col("_rn"))
+    ahead = W.partitionBy("_series", "_slot").orderBy("_rn").rowsBetween(W.unboundedPreceding, 0)
+    behind = W.partitionBy("_series", "_slot").orderBy(F.col("_rn").desc()).rowsBetween(W.unboundedPreceding, 0)
     prev, nxt = {}, {}
     for c in cols:
         cell = _placed("_pos", f"`{c}`", f"`{c}`")
