@@ -39,7 +39,7 @@ def fit_imputer(inputs: DataFrame, value: str, trees: int = IMPUTER_TREES) -> Pi
         featuresCol="_inputs", labelCol=value, predictionCol="_model", maxIter=trees, stepSize=IMPUTER_RATE,
         maxDepth=IMPUTER_DEPTH, seed=SEED,
     )
-    gather = VectorAssembler(inputCols=list(IMPUTER_INPUTS), outputCol="_inputs")
+    gather = VectorAssembler(inputCols=list(IMPUTER_INPUTS), outputCol="_inputs", handleInvalid="keep")
     return Pipeline(stages=[gather, learner]).fit(usable.select(value, *IMPUTER_INPUTS))
 
 
@@ -58,12 +58,11 @@ def impute_gbt(
     if model is None:
         scored = inputs.withColumn("_model", F.lit(None).cast("double"))
     else:
-        # The assembler rejects NULLs, so only the rows to fill that have all inputs are scored.
+        # Only the rows to fill that have all inputs take the estimate.
         ready = F.col(value).isNull()
         for c in IMPUTER_INPUTS:
             ready &= F.col(c).isNotNull()
-        estimates = model.transform(inputs.where(ready)).select(*keys, ts, "_model")
-        scored = keyed_join(inputs, estimates, [*keys, ts], "left")
+        scored = model.transform(inputs).withColumn("_model", F.when(ready, F.col("_model"))).drop("_inputs")
     middle = settled(median_exact(inputs, keys, value, "_median"))
     filled = keyed_join(scored, middle, keys, "left")
     out = filled.withColumn("_filled", F.coalesce(F.col(value), F.col("_model"), F.col("_median")))

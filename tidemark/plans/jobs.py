@@ -31,6 +31,8 @@ from tidemark.sources.schemas import PRICES
 
 log = logging.getLogger(__name__)
 
+CONTEXT_DAYS = 14
+
 
 @dataclass(frozen=True)
 class LoadConfig:
@@ -73,11 +75,11 @@ def load_prices(spark: SparkSession, cfg: LoadConfig, day: str | None = None) ->
     return with_rejected(summary, spark.read.parquet(rejected).count())
 
 
-def _with_context(spark: SparkSession, cfg: LoadConfig, new: DataFrame, day: str, days: int = 14) -> DataFrame:
+def _with_context(spark: SparkSession, cfg: LoadConfig, new: DataFrame, day: str, days: int = CONTEXT_DAYS) -> DataFrame:
     """Add the observed rows of the preceding days, so that one day is cleaned like a long series."""
     stored = read_table(spark, f"{cfg.root}/marginal_costs", PRICES)
-    start = F.lit(day).cast("timestamp") - F.make_dt_interval(days=F.lit(days))
-    end = F.lit(day).cast("timestamp") + F.make_dt_interval(days=F.lit(2))
+    start = F.to_utc_timestamp(F.date_sub(F.lit(day).cast("date"), days).cast("timestamp"), cfg.tz)
+    end = F.to_utc_timestamp(F.date_add(F.lit(day).cast("date"), 2).cast("timestamp"), cfg.tz)
     near = stored.where(
         F.col("month").between(F.date_format(start, "yyyy-MM"), F.date_format(end, "yyyy-MM"))
         & F.col("datetime").between(start, end)
@@ -91,9 +93,12 @@ def _with_context(spark: SparkSession, cfg: LoadConfig, new: DataFrame, day: str
 def load_generation(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -> dict[str, int]:
     rows = read_generation_tsv(spark, cfg.generation, tz=cfg.tz)
     if day is not None:
-        rows = _local_day(rows, "datetime", day, cfg.tz)
+        # The days around it, so that the day's gaps are filled as in a load of everything.
+        rows = _local_day(rows, "datetime", day, cfg.tz, around=CONTEXT_DAYS)
     rows = settled(rows, "generation")
-    clean = clean_generation(tag_constant(rows, "_series", "all"), ["_series"], tz=cfg.tz).drop("_series")
+    clean = clean_generation(tag_constant(rows, "_series_", "all"), ["_series_"], tz=cfg.tz).drop("_series_")
+    if day is not None:
+        clean = _local_day(clean, "datetime", day, cfg.tz)
     return load_table(spark, settled(clean, "clean-generation"), cfg.root, "generation_by_tech")
 
 
@@ -112,9 +117,11 @@ def load_weather(spark: SparkSession, cfg: LoadConfig, day: str | None = None) -
     return load_table(spark, rows, cfg.root, "weather")
 
 
-def _local_day(df: DataFrame, ts: str, day: str, tz: str) -> DataFrame:
-    start = F.to_utc_timestamp(F.lit(day).cast("timestamp"), tz)
-    end = F.to_utc_timestamp(F.lit(day).cast("timestamp") + F.expr("INTERVAL 1 DAY"), tz)
+def _local_day(df: DataFrame, ts: str, day: str, tz: str, around: int = 0) -> DataFrame:
+    """Rows of the local day and of ``around`` days on each side of it."""
+    date = F.lit(day).cast("date")
+    start = F.to_utc_timestamp(F.date_sub(date, around).cast("timestamp"), tz)
+    end = F.to_utc_timestamp(F.date_add(date, around + 1).cast("timestamp"), tz)
     return df.where((F.col(ts) >= start) & (F.col(ts) < end))
 
 
