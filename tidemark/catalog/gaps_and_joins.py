@@ -179,15 +179,18 @@ def _eda(spark, sf):
 
 
 ASOF_SQL = """SELECT h.event_type, h.hour, h.value, w.temp_max_c, w.precip_mm FROM h
-    ASOF LEFT JOIN (SELECT region, CAST(date AS TIMESTAMP) AS at, temp_max_c, precip_mm FROM weather
-                    WHERE isodow(date) IN (2, 5)) w
+    ASOF LEFT JOIN (SELECT region, CAST(CAST(date AS DATE) - CAST(CASE WHEN isodow(date) IN (2, 3, 4) THEN isodow(date) - 2
+                        ELSE (isodow(date) + 2) % 7 END AS INTEGER) AS TIMESTAMP) AS at,
+                        max(temp_max_c) AS temp_max_c, max(precip_mm) AS precip_mm FROM weather GROUP BY 1, 2) w
       ON h.event_type = w.region AND h.hour >= w.at"""
 
 
 def _sparse_weather(spark, sf):
-    """Weather reported on Tuesdays and Fridays only, so that hours lie between slow rows."""
-    reported = weather(spark, sf).where(F.weekday("date").isin(1, 4))
-    return reported.withColumnRenamed("region", "event_type")
+    """Highest values of the days from each Tuesday and each Friday on, so that hours lie between slow rows."""
+    back = F.when(F.weekday("date").between(1, 3), F.weekday("date") - 1).otherwise((F.weekday("date") + 3) % 7)
+    half = F.date_sub("date", back).alias("date")
+    highest = weather(spark, sf).groupBy(F.col("region").alias("event_type"), half)
+    return highest.agg(F.max("temp_max_c").alias("temp_max_c"), F.max("precip_mm").alias("precip_mm"))
 
 
 @register("asof_ffill", with_ctes("h", "weather", body=ASOF_SQL))
