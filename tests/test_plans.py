@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from tests.frames import to_pandas
 from tidemark import catalog
+from tidemark.operators import gaps, windows
 from tidemark.plans import cleaning, forecast, seasonal
 from tidemark.plans.features import FEATURES, build_feature_matrix
 from tidemark.sources.schemas import GENERATION_COLUMNS
@@ -160,6 +161,41 @@ def test_plans_have_no_cross_join_or_unkeyed_window(spark, name, capsys):
         assert "Python" not in plan and "InPandas" not in plan, plan
 
 
+def _nodes(plan):
+    yield plan
+    below = plan.children()
+    for i in range(below.size()):
+        yield from _nodes(below.apply(i))
+
+
+@pytest.mark.parametrize("name, most", [("lags", 2), ("rolling_stats", 2), ("imputer_lags", 2), ("ffill", 1), ("interpolate_limited", 1)])
+def test_row_order_operators_shuffle_their_rows_as_often_as_needed(spark, tmp_path, name, most):
+    """Exchanges of whole rows, with neither broadcasts nor adaptive execution."""
+    path = str(tmp_path / "rows")
+    start = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600)
+    rows = spark.range(50).select(F.lit("a").alias("k"), start.alias("t"), F.col("id").cast("double").alias("y"), F.lit("x").alias("payload"))
+    rows.write.parquet(path)
+    stored = spark.read.parquet(path)
+    run = {
+        "lags": lambda: windows.lags(stored, ["k"], "t", "y"),
+        "rolling_stats": lambda: windows.rolling_stats(stored, ["k"], "t", "y"),
+        "imputer_lags": lambda: windows.imputer_lags(stored, ["k"], "t", "y"),
+        "ffill": lambda: gaps.ffill(stored, ["k"], "t", ["y"]),
+        "interpolate_limited": lambda: gaps.interpolate_limited(stored, ["k"], "t", ["y"]),
+    }[name]
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan = run()._jdf.queryExecution().executedPlan()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    whole = [p for p in _nodes(plan) if p.nodeName() == "Exchange" and "payload" in p.output().mkString(",")]
+    assert 0 < len(whole) <= most, plan.toString()
+
+
 def test_filters_and_columns_reach_the_scan(spark, capsys):
     catalog.queries()["filter_year_from"](spark, SF).explain("formatted")
     plan = capsys.readouterr().out

@@ -117,16 +117,14 @@ def _by_hour(spark, sf):
         with_ctes(
             "p",
             body=""", err AS (SELECT model, predicted - actual AS error FROM p
-                WHERE model <> 'mean24' AND predicted IS NOT NULL AND actual IS NOT NULL), e AS""",
+                WHERE predicted IS NOT NULL AND actual IS NOT NULL), e AS""",
         ),
     )
     + ")",
     floats={"bin_start": 4, "bin_end": 4},
 )
 def _error_histogram(spark, sf):
-    # The mean's errors are not exact in binary, so a bin edge could split differently per engine.
-    p = predictions(spark, sf).where(F.col("model") != "mean24")
-    return metrics.error_histogram(p, ["model"], "actual", "predicted")
+    return metrics.error_histogram(predictions(spark, sf), ["model"], "actual", "predicted")
 
 
 @register("distinct_models", "SELECT DISTINCT event_type AS model FROM events ORDER BY 1")
@@ -135,13 +133,13 @@ def _models(spark, sf):
 
 
 def stored_predictions(spark, sf):
-    """Predictions-table rows of the two models whose values need no rounding."""
-    p = predictions(spark, sf).where(F.col("model").isin("last", "day"))
+    """Predictions-table rows of all models."""
+    p = predictions(spark, sf)
     shaped = [
         shape_predictions(
             p.where(F.col("model") == m), "event_type", m, "1.0", 1, ts="hour", predicted="predicted", actual="actual"
         )
-        for m in ("last", "day")
+        for m in ("last", "day", "mean24")
     ]
     return selection.union_files(*shaped)
 
@@ -152,7 +150,7 @@ def stored_predictions(spark, sf):
         "p",
         body=f"""SELECT hour AS datetime, model AS model_name, predicted AS predicted_cmg, actual AS actual_cmg,
             CAST(hour({local_sql("hour")}) AS BIGINT) AS hora_santiago
-        FROM p WHERE model IN ('last', 'day') AND predicted IS NOT NULL AND actual IS NOT NULL AND event_type = 'click'""",
+        FROM p WHERE predicted IS NOT NULL AND actual IS NOT NULL AND event_type = 'click'""",
     ),
 )
 def _scan_predictions(spark, sf):

@@ -220,7 +220,7 @@ def _insert_summary(spark, sf):
         "p",
         body="""SELECT hour AS datetime, event_type AS barra, model AS model_name, '1.0' AS model_version,
             predicted AS predicted_cmg, actual AS actual_cmg, CAST(1 AS BIGINT) AS horizon_h
-        FROM p WHERE model IN ('last', 'day') AND predicted IS NOT NULL""",
+        FROM p WHERE predicted IS NOT NULL""",
     ),
 )
 def _write_predictions(spark, sf):

@@ -58,11 +58,15 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """(event_type, hour, model, actual, predicted): last hour, last day and daily mean as models."""
+    """(event_type, hour, model, actual, predicted): last hour, last day and daily mean as models.
+
+    The mean is cut to cents; the hundredth of a cent keeps means of whole cents (of at most 24 values) apart from
+    the cut, so that the last bit of a sum does not count.
+    """
     back = lags_and_rolling(grid(spark, sf), KEY, "hour", "value", [1, 24], [24], mode="time")
     wide = back.select(
         "event_type", "hour", F.col("value").alias("actual"), F.col("lag_value_1h").alias("last"),
-        F.col("lag_value_24h").alias("day"), F.col("rolling_mean_value_24h").alias("mean24"),
+        F.col("lag_value_24h").alias("day"), (F.floor(F.col("rolling_mean_value_24h") * 100 + 0.01) / 100).alias("mean24"),
     )
     return wide.unpivot(["event_type", "hour", "actual"], ["last", "day", "mean24"], "model", "predicted")
 
@@ -134,8 +138,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "pw": (
         """SELECT event_type, hour, value AS actual, lag(value, 1) OVER w AS last, lag(value, 24) OVER w AS day,
-                  avg(value) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)
-                    AS mean24
+                  floor(avg(value) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)
+                    * 100 + 0.01::DOUBLE) / 100 AS mean24
            FROM g WINDOW w AS (PARTITION BY event_type ORDER BY hour)""",
         ("g",),
     ),
