@@ -130,6 +130,17 @@ def test_near_copies(spark, direct):
     assert [r["component_id"] for r in got] == components_by_pairs(texts)
 
 
+@pytest.mark.parametrize("salt_rows", [1, 2])
+def test_near_copies_under_salted_keys(spark, salt_rows):
+    """Pairs that share few keys, all of them salted, and copies of some texts."""
+    texts = []
+    for k in range(80):
+        words = [f"p{k}w{i}" for i in range(16 + k % 5)]
+        texts += [" ".join(words), " ".join([*words[:-1], "changed"])] * (1 + k % 3)
+    got = ngram_classes(docs_of(spark, texts), Settings(salt_rows=salt_rows)).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == components_by_pairs(texts)
+
+
 def test_lattice(spark):
     """Ids are those of the library's best path, once it is told the table is a unigram model's."""
     pieces = read_pieces(PIECES)

@@ -169,8 +169,9 @@ def sketch_rows(docs: DataFrame, counts: Broadcast, settings: Settings) -> DataF
             if below and size * settings.percent <= 100 * below:
                 more = lane_keys(s, band - 1, settings.most_different(below) + 1, cells, settings)
                 keys, rarity = np.concatenate([keys, more[0]]), np.concatenate([rarity, more[1]])
-            parts = np.where(rarity > widespread, np.minimum(1 + rarity // settings.salt_rows, 1024), 1).astype(np.uint64)
-            salts = mix(keys ^ np.uint64(node & (2**64 - 1))) % parts
+            parts = np.where(rarity > widespread, 1 + np.minimum(rarity // settings.salt_rows, 1023), 1).astype(np.uint64)
+            # Salts count from 1: salt 0 says that a key is not salted and all its nodes are in one group.
+            salts = np.where(parts > 1, mix(keys ^ np.uint64(node & (2**64 - 1))) % parts + np.uint64(1), np.uint64(0))
             return size, node, sketch, keys.view(np.int64), salts.astype(np.int32)
 
         for b in batches:
