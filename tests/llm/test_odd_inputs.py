@@ -126,6 +126,21 @@ def test_license(spark):
     assert license_scan(files.limit(0)).count() == 0
 
 
+def test_license_texts_and_wrapped_headers(spark):
+    from tidemark.llm.license_scan import FULL_TEXTS
+
+    rows = [(f"{f.stem}/LICENSE", f"Copyright (c) 2019 Some One\nAll rights reserved.\n\n{f.read_text()}") for f in FULL_TEXTS.glob("*.txt")]
+    rows += [(f"{f.stem}/src/a.txt", PROSE) for f in FULL_TEXTS.glob("*.txt")]
+    wrapped = "# This Source Code Form is subject\n# to the terms of the Mozilla\n#\n# Public License,\n# v. 2.0"
+    rows += [("w/a.c", f"{PROSE}\n{wrapped}\n{PROSE}"), ("w/b.c", f"{PROSE}\nReleased under {PROSE}\n{PROSE} the MIT License"), ("w/c.c", PROSE * 9)]
+    got = {r["path"]: r for r in license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for f in FULL_TEXTS.glob("*.txt"):
+        assert got[f"{f.stem}/LICENSE"]["own_license"] == f.stem
+        assert (got[f"{f.stem}/src/a.txt"]["license"], got[f"{f.stem}/src/a.txt"]["up"]) == (f.stem, 2)
+    assert got["w/a.c"]["own_license"] == "MPL-2.0"
+    assert got["w/b.c"]["own_license"] is None and got["w/c.c"]["own_license"] is None
+
+
 def test_stages(spark, tmp_path):
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
