@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrow import hashed_share
 from tidemark.llm.chat_format import chat_digest, format_chats
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.hard_negatives import hard_negatives
 from tidemark.llm.license_scan import FILE_NAMES, TEMPLATES, license_scan
 from tidemark.llm.lm_ppm import score_ppm, train_ppm
 from tidemark.llm.ngram_join import ngram_classes
 from tidemark.llm.quality_classifier import fit_quality, quality_score
 from tidemark.llm.quality_rules import Rules, quality_rules
+from tidemark.llm.repeated_passages import without_repeats
 from tidemark.llm.sentencepiece_lattice import DIGEST, digest, encode_texts, read_pieces
 from tidemark.llm.token_files import read_token_files, write_token_files
 from tidemark.llm.toxicity import fit_toxicity, toxicity
+from tidemark.llm.turn_repair import audits, damaged, repaired_digest, repaired_turns
+from tidemark.operators.keyed import keyed_join, settled
 from tidemark.session import scratch_path
 
 TOKENIZERS = "/opt/tokenizers"
@@ -90,11 +94,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    audited = settled(audits(rows), "audits")
+    digests = repaired_digest(repaired_turns(rows, audited))
+    all_ids = conversations.select("conv_id").distinct()
+    out = keyed_join(keyed_join(all_ids, audited, ["conv_id"], "left"), digests, ["conv_id"], "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", kept)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_license_scan, op3_sentencepiece, op4_chat_format, op5_lm_score,
         op6_decontaminate, op7_ngram_jaccard, op8_token_files, op9_toxicity, op10_quality_rules,
+        op11_turn_repair, op12_repeated_passages, op13_hard_negatives,
     )
 }
 
@@ -266,10 +294,51 @@ SELECT doc_id, own.license AS own_license, round(own.score, 6) AS own_score, coa
 FROM files LEFT JOIN own USING (r) LEFT JOIN near USING (r)
 """
 
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_words('text', _SOLID, lower=False)} AS w FROM documents),
+runs AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM docs, unnest(range(1, len(w) - 33)) AS t(i)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS n FROM runs) WHERE n > 1),
+gone AS (SELECT DISTINCT r, p FROM again, unnest(range(i, i + 35)) AS t(p)),
+word AS (SELECT r, p, x FROM docs, unnest(w) WITH ORDINALITY AS u(x, p)),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+OP13_SQL = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, b.r,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.r <> b.r
+),
+near AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, r) <= 5
+),
+pairs AS (
+  SELECT near.anchor, near.r AS positive, near.anchor_id, near.vec_id AS positive_id, near.score AS positive_score,
+    far.vec_id AS negative_id, far.score AS negative_score, far.r
+  FROM near JOIN scores far ON far.anchor = near.anchor AND NOT far.same
+    AND 30 * near.score <= 100 * far.score AND 100 * far.score <= 90 * near.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY anchor, positive ORDER BY negative_score DESC, negative_id NULLS LAST, r) AS rank FROM pairs
+) WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": OP2_SQL,
     "op4_chat_format": OP4_SQL,
     "op6_decontaminate": OP6_SQL,
     "op7_ngram_jaccard": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_repeated_passages": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
