@@ -164,7 +164,10 @@ def passages():
 
 @pytest.mark.parametrize(
     "settings",
-    [PassageSettings(), PassageSettings(bucket_rows=1), PassageSettings(window=8, seed=3, block=64, remembered=2, sort_rows=16), PassageSettings(window=5, seed=1, bucket_rows=4)],
+    [
+        PassageSettings(), PassageSettings(bucket_rows=1, levels=1), PassageSettings(bucket_rows=2, levels=0),
+        PassageSettings(window=8, seed=3, block=64, remembered=2, sort_rows=16), PassageSettings(window=5, seed=1, bucket_rows=4, levels=2),
+    ],
 )
 def test_repeats(spark, settings):
     texts = passages()

@@ -16,8 +16,9 @@ occur twice (the join behind it is exact), and the digests of up to ``remembered
 
 Skew: copies collapse before every shuffle (partial aggregates, one string per task). A bucket of more
 than ``bucket_rows`` strings, such as a passage that very many texts share in different
-surroundings, is not taken as one group: its strings are dealt out and their windows, by 128-bit
-digest, counted by an aggregate with map-side combining.
+surroundings, is not taken as one group: its strings are cut again, by shorter seeds in another
+order, and what they are cut into is dealt out and judged in the same way. After ``levels`` such cuts
+windows are counted one by one, by 128-bit digest, in an aggregate with map-side combining.
 
 Long texts are read in blocks of ``block`` words that overlap by a window; where a stretch is cut
 does not matter, because each part carries the same minimiser.
@@ -57,6 +58,7 @@ class Settings:
     filter_bits: int = 1 << 26
     remembered: int = 1 << 17
     bucket_rows: int = 1024
+    levels: int = 3
     #: Windows compared at once in a bucket task.
     sort_rows: int = 1 << 17
 
@@ -92,9 +94,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def stretches(words: list[bytes], settings: Settings, rolling: RollingHash) -> Iterator[tuple]:
-    """Super-k-mers of one text: arrays of first word, number of windows, minimiser and hash, per block."""
-    w, seed = settings.window, settings.seed
+def stretches(words: list[bytes], settings: Settings, rolling: RollingHash, level: int = 0) -> Iterator[tuple]:
+    """Super-k-mers of one text: arrays of first word, number of windows, minimiser and hash, per block.
+
+    Every level has an order of its own, and seeds half as long as those before.
+    """
+    w, seed = settings.window, max(1, settings.seed >> level)
     for begin in range(0, max(1, len(words) - w + 1), settings.block):
         part = words[begin : begin + settings.block + w - 1]
         if len(part) < w:
@@ -102,7 +107,8 @@ def stretches(words: list[bytes], settings: Settings, rolling: RollingHash) -> I
         codes = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part))
         sums = rolling.sums(codes)
         at = np.arange(len(part) - seed + 1)
-        ranked = (rolling.of(sums, at, at + seed) >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | at.astype(np.uint64)
+        rank = mix(rolling.of(sums, at, at + seed) + np.uint64(level))
+        ranked = (rank >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | at.astype(np.uint64)
         least = sliding_min(ranked, w - seed + 1)
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         n = np.diff(np.append(first, len(least)))
@@ -190,8 +196,7 @@ def places(docs: DataFrame, repeated: DataFrame, settings: Settings) -> DataFram
                     flat = [list(chain.from_iterable(c)) if isinstance(c[0], list) else np.concatenate(c) for c in out]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names=[x.split()[0] for x in ddl.split(", ")])
 
-    found = with_key(docs).mapInArrow(run, ddl)
-    return found
+    return with_key(docs).mapInArrow(run, ddl)
 
 
 def repeats_among(strings: list[bytes], groups: np.ndarray, settings: Settings) -> np.ndarray:
@@ -255,8 +260,33 @@ def bucket_verdicts(strings: DataFrame, settings: Settings) -> DataFrame:
     return dealt.mapInArrow(run, "minimiser long, stretch long, bits long")
 
 
+def finer_verdicts(strings: DataFrame, settings: Settings, level: int) -> DataFrame:
+    """The same for buckets too large for one group: their strings cut into the stretches of another level."""
+    ddl = "up_minimiser long, up_stretch long, first long, windows int, minimiser long, stretch long, words binary"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = RollingHash(settings.block + settings.window)
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                out = []
+                for up_minimiser, up_stretch, string in zip(*(c.to_pylist() for c in b.slice(i, 2048).columns), strict=True):
+                    words = string.split(b" ")
+                    for cut in stretches(words, settings, rolling, level):
+                        for first, n, minimiser, h in zip(*(c.tolist() for c in cut), strict=True):
+                            out.append((up_minimiser, up_stretch, first, n, minimiser, h, b" ".join(words[first : first + n + settings.window - 1])))
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ddl.split(", ")])
+
+    found = settled(strings.select("minimiser", "stretch", "words").mapInArrow(run, ddl), "finer-stretches")
+    judged = settled(verdicts(found, settings, level), "finer-verdicts")
+    own = F.expr("shiftleft(bits & (shiftleft(1L, windows) - 1), int(first))")
+    hit = found.drop("words").join(judged, ["minimiser", "stretch"]).select("up_minimiser", "up_stretch", own.alias("bits"))
+    return hit.groupBy(F.col("up_minimiser").alias("minimiser"), F.col("up_stretch").alias("stretch")).agg(F.bit_or("bits").alias("bits"))
+
+
 def window_verdicts(strings: DataFrame, settings: Settings) -> DataFrame:
-    """The same for buckets too large for one group, window by window."""
+    """The same, window by window."""
     w = settings.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,32 +294,34 @@ def window_verdicts(strings: DataFrame, settings: Settings) -> DataFrame:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
                 split = [x.split(b" ") for x in part.column(2).to_pylist()]
-                owner = np.repeat(np.arange(len(split)), [len(x) - w + 1 for x in split])
-                found = [xxhash.xxh3_128_digest(b" ".join(x[k : k + w])) for x in split for k in range(len(x) - w + 1)]
-                offset = [k for x in split for k in range(len(x) - w + 1)]
+                places = [(r, k) for r, x in enumerate(split) for k in range(len(x) - w + 1)]
+                owner = pa.array([r for r, _ in places], pa.int64())
+                content = pa.array([xxhash.xxh3_128_digest(b" ".join(split[r][k : k + w])) for r, k in places], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array(offset, pa.int32()), pa.array(found, pa.binary())],
+                    [part.column(0).take(owner), part.column(1).take(owner), pa.array([k for _, k in places], pa.int32()), content],
                     names=["minimiser", "stretch", "place", "content"],
                 )
 
-    windows = strings.repartition("minimiser", "stretch").mapInArrow(run, "minimiser long, stretch long, place int, content binary")
+    windows = settled(strings.select("minimiser", "stretch", "words").mapInArrow(run, "minimiser long, stretch long, place int, content binary"), "windows")
     where = F.struct("minimiser", "stretch", "place")
     several = windows.groupBy("content").agg(F.min(where).alias("low"), F.max(where).alias("high")).where("low <> high").select("content")
-    return (
-        windows.join(settled(several, "contents"), "content")
-        .groupBy("minimiser", "stretch")
-        .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
-    )
+    hit = windows.join(settled(several, "contents"), "content")
+    return hit.groupBy("minimiser", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
 
 
-def verdicts(found: DataFrame, repeated: DataFrame, settings: Settings) -> DataFrame:
-    """(minimiser, stretch, bits): which windows of a stretch occur elsewhere."""
+def verdicts(found: DataFrame, settings: Settings, level: int = 0) -> DataFrame:
+    """(minimiser, stretch, bits): which windows of a stretch occur elsewhere among the stretches ``found``."""
     same = found.groupBy("minimiser", "stretch").agg(F.count("*").alias("n")).where("n > 1").select("minimiser", "stretch", F.lit(-1).cast("long").alias("bits"))
     strings = found.where("words IS NOT NULL").select("minimiser", "stretch", "words")
     crowded = settled(strings.groupBy("minimiser").agg(F.count("*").alias("n")).where(F.col("n") > settings.bucket_rows).select("minimiser"), "crowded")
-    some = bucket_verdicts(strings.join(crowded, "minimiser", "left_anti"), settings)
-    more = window_verdicts(strings.join(crowded, "minimiser", "left_semi"), settings)
-    return same.unionByName(some).unionByName(more).groupBy("minimiser", "stretch").agg(F.bit_or("bits").alias("bits"))
+    parts = [same, bucket_verdicts(strings.join(crowded, "minimiser", "left_anti"), settings)]
+    if not crowded.isEmpty():
+        many = strings.join(crowded, "minimiser", "left_semi").groupBy("minimiser", "stretch").agg(F.any_value("words").alias("words"))
+        parts.append(finer_verdicts(many, settings, level + 1) if level < settings.levels else window_verdicts(many, settings))
+    both = parts[0]
+    for x in parts[1:]:
+        both = both.unionByName(x)
+    return both.groupBy("minimiser", "stretch").agg(F.bit_or("bits").alias("bits"))
 
 
 def covered(n_words: int, spans: list | None, settings: Settings) -> np.ndarray:
@@ -313,7 +345,7 @@ def repeated_windows(docs: DataFrame, settings: Settings = Settings()) -> DataFr
         raise ValueError("a block must have fewer words")
     repeated = settled(minimisers(docs, settings), "minimisers")
     found = settled(places(docs, repeated, settings), "stretches")
-    judged = settled(verdicts(found, repeated, settings), "verdicts")
+    judged = settled(verdicts(found, settings), "verdicts")
     hit = found.select("key", "first", "windows", "minimiser", "stretch").join(judged, ["minimiser", "stretch"])
     return hit.groupBy("key").agg(F.collect_set(F.struct("first", "windows", "bits")).alias("spans"))
 
