@@ -4,10 +4,12 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.frames import to_pandas, to_spark
 from tidemark.operators import aggregates, frames, metrics, quality, selection
-from tidemark.operators.quantiles import quantile_exact
+from tidemark.functions import ordered_bits
+from tidemark.operators.quantiles import BELOW, quantile_exact
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
 
@@ -26,18 +28,58 @@ def groups(seed):
     return pd.concat(parts, ignore_index=True)
 
 
-@pytest.mark.parametrize("small_group, accuracy", [(0, 20_000), (0, 200), (10**9, 20_000)])
-def test_quantiles_equal_numpy_on_both_routes(spark, small_group, accuracy):
+@pytest.mark.parametrize("below", [BELOW, (60, 40), (20, 4)])
+def test_quantiles_equal_numpy(spark, below):
     pdf = groups(7)
     df = spark.createDataFrame(pdf)
     names = [f"q{i}" for i in range(len(PROBS))]
-    got = quantile_exact(df, ["k"], "v", PROBS, names, accuracy, small_group).toPandas().set_index("k")
+    got = quantile_exact(df, ["k"], "v", PROBS, names, below).toPandas().set_index("k")
     want = pdf.groupby("k")["v"].quantile(PROBS).unstack()
     assert set(got.index) == set(want.index)
     for i, p in enumerate(PROBS):
         np.testing.assert_allclose(got.loc[want.index, f"q{i}"], want[p], rtol=1e-12)
 
 
+def test_bits_order_like_doubles(spark):
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2**63 - 2**52, 4000).astype(np.int64).view(np.float64)
+    edges = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 1.9999999999999998, 2.0, 1.7976931348623157e308, math.inf]
+    powers = [2.0**e for e in range(-1074, 1024)]
+    v = np.unique(np.concatenate([bits, edges, powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf)]))
+    v = np.concatenate([-v[::-1], v])
+    got = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double").select("i", ordered_bits(F.col("v")).alias("u")).orderBy("i").collect()
+    want = np.where(v > 0, 1, -1) * np.abs(v).view(np.int64)
+    assert [r["u"] for r in got] == want.tolist()
+    assert spark.createDataFrame([(math.nan,)], "v double").select(ordered_bits(F.col("v"))).first()[0] > want.max()
+
+
+def test_quantiles_of_odd_values_and_keys(spark):
+    nan, inf = math.nan, math.inf
+    rows = [("inf", x) for x in (-inf, -inf, 1.0, inf, inf)] + [("nan", x) for x in (1.0, nan, nan)] + [("zero", -0.0), ("zero", 0.0)]
+    rows += [(None, 3.0), (None, 4.0), (None, None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: tuple(r)[1:] for r in quantile_exact(df, ["k"], "v", [0.0, 0.1, 0.5, 0.6, 1.0]).collect()}
+    assert set(got) == {"inf", "nan", "zero", None}
+    assert got["inf"][:3] == (-inf, -inf, 1.0) and got["inf"][4] == inf and got["inf"][3] == inf
+    assert got["nan"][0] == 1.0 and math.isnan(got["nan"][2]) and math.isnan(got["nan"][4])
+    assert got["zero"] == (0.0,) * 5 and got[None] == (3.0, 3.1, 3.5, 3.6, 4.0)
+    assert quantile_exact(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
+def test_quantiles_start_no_job_and_gather_no_key(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else f"k{i}", float(x)) for i, x in enumerate(rng.normal(50, 9, 6000))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    spark.sparkContext.setJobGroup("plan", "plan")
+    plan = quantile_exact(df, ["k"], "v", [0.5])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    spark.sparkContext.setJobGroup("run", "run")
+    hot = sorted(x for k, x in rows if k == "hot")
+    assert plan.where("k = 'hot'").first()["q0.5"] == pytest.approx(np.median(hot), rel=1e-15)
+    text = plan._jdf.queryExecution().toString()
+    assert "percentile" not in text and "SinglePartition" not in text
+
+
 def test_outliers_become_null_after_the_quantile(spark):
     rows = [("a", float(i % 90 + 30)) for i in range(1000)] + [("a", 1500.0), ("a", None), ("b", 1500.0)]
     got = frames.null_if_outlier(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").toPandas()

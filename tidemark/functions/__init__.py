@@ -15,6 +15,7 @@ from tidemark.functions.numeric import (
     is_finite,
     nan_to_null,
     null_if_negative,
+    ordered_bits,
     round_to,
     row_sum,
     signed_error,
@@ -32,6 +33,7 @@ __all__ = [
     "nan_to_null",
     "normalize_utc",
     "null_if_negative",
+    "ordered_bits",
     "parse_date_strict",
     "parse_decimal_comma",
     "regex_hour",

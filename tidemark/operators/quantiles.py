@@ -1,10 +1,13 @@
-"""Exact quantiles without gathering a large group in one task.
+"""Exact quantiles by radix selection: one lazy plan for groups of every size.
 
-``percentile`` keeps every distinct value of a group in one buffer, so it only serves groups
-whose size was checked. Beyond that a bounded sketch first brackets each wanted rank, one pass counts the rows below each bracket, and only the
-rows inside the brackets (a few in ten thousand) are counted per value and ranked, cut into
-slices by value so that even they never meet in one task. The answer is exact: a sketch only
-decides which rows need ranking, and the counts prove that the bracket holds the wanted rank.
+Every value has a 64-bit whole number that orders like it. A wanted rank is narrowed down by that
+number's digits: a histogram of the leading digit says which digit holds the rank, then only the rows
+with that digit go into the next histogram, and so on; the last digit leaves a single value. Rows are
+first counted per distinct value, with map-side combining, so ties cost nothing, and the three
+steps read that one exchange. A window spans one histogram, whose number of rows the digit's
+width bounds; no group of a key's rows ever meets in one task.
+
+NaN is one value, larger than all others; minus zero equals zero; infinities are values like others.
 """
 
 from __future__ import annotations
@@ -15,11 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import keyed_join, require_keys, settled
+from tidemark.functions import ordered_bits
+from tidemark.operators.keyed import keyed_join, require_keys
+
+#: Bits below the first and below the second digit. Histograms have at most 2^20, 2^20 and 2^24 rows.
+BELOW = (44, 24)
+
 
-ACCURACY = 20_000
-SLICES = 256
-SMALL_GROUP = 250_000
+def _narrowed(counts: DataFrame, group: list[str], digit: str, carried: Sequence[str]) -> DataFrame:
+    """Rows of ``counts`` (group, digit, _c, _before, _ranks, carried) that hold a wanted rank.
+
+    ``_before`` and ``_ranks`` belong to the group; afterwards they belong to the row.
+    """
+    earlier = W.partitionBy(*group).orderBy(digit).rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    inside = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))
+    return placed.withColumn("_ranks", inside).where(F.size("_ranks") > 0).select(*dict.fromkeys([*group, digit]), "_before", "_ranks", *carried)
 
 
 def quantile_exact(
@@ -28,107 +42,42 @@ def quantile_exact(
     value: str,
     probs: Sequence[float],
     names: Sequence[str] | None = None,
-    accuracy: int = ACCURACY,
-    small_group: int = SMALL_GROUP,
+    below: tuple[int, int] = BELOW,
 ) -> DataFrame:
     """Linearly interpolated quantiles of the non-NULL values, one row per key."""
     keys = require_keys(keys)
     names = list(names or [f"q{p:g}" for p in probs])
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    largest = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    if (largest or 0) <= small_group:
-        found = known.groupBy(*keys).agg(F.percentile("_v", list(probs)).alias("_q"))
-        return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    return _bracketed_quantiles(known, keys, probs, names, accuracy)
-
-
-def _bracketed_quantiles(
-    known: DataFrame, keys: list[str], probs: Sequence[float], names: list[str], accuracy: int
-) -> DataFrame:
-    slack = 4.0 / accuracy
-    marks = [q for p in probs for q in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    sketch = known.groupBy(*keys).agg(F.percentile_approx("_v", marks, accuracy).alias("_marks"))
-    bracketed = keyed_join(known, settled(sketch), keys)
-    low = [F.col("_marks")[2 * i] for i in range(len(probs))]
-    high = [F.col("_marks")[2 * i + 1] for i in range(len(probs))]
-    v = F.col("_v")
-
-    # Rows outside the brackets: their counts, and the nearest value on each side.
-    per_prob = []
-    for i, (lo, hi) in enumerate(zip(low, high)):
-        per_prob += [
-            F.count_if(v < lo).alias(f"_below{i}"),
-            F.max(F.when(v < lo, v)).alias(f"_under{i}"),
-            F.min(F.when(v > hi, v)).alias(f"_over{i}"),
-        ]
-    outside = bracketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *per_prob)
-
-    # Rows inside: counted per value, then ranked slice by slice.
-    here = [
-        F.when((v >= lo) & (v <= hi), F.struct(F.lit(i).alias("p"), lo.alias("lo"), hi.alias("hi")))
-        for i, (lo, hi) in enumerate(zip(low, high))
-    ]
-    inside = (
-        bracketed.where((v >= F.array_min(F.array(*low))) & (v <= F.array_max(F.array(*high))))
-        .select(*keys, "_v", F.explode(F.array_compact(F.array(*here))).alias("_b"))
-        .groupBy(*keys, "_b", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    width = (F.col("_b.hi") - F.col("_b.lo")) / F.lit(SLICES)
-    cut = F.when(width > 0, F.floor((F.col("_v") - F.col("_b.lo")) / width)).otherwise(F.lit(0))
-    inside = inside.select(*keys, F.col("_b.p").alias("_p"), cut.cast("long").alias("_cut"), "_v", "_c")
-    earlier = W.partitionBy(*keys, "_p").orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
-    cuts = (
-        inside.groupBy(*keys, "_p", "_cut")
-        .agg(F.sum("_c").alias("_size"))
-        .select(*keys, "_p", "_cut", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_first"))
-    )
-    in_cut = W.partitionBy(*keys, "_p", "_cut").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = keyed_join(inside, cuts, [*keys, "_p", "_cut"]).withColumn(
-        "_start", F.col("_first") + F.coalesce(F.sum("_c").over(in_cut), F.lit(0))
+    number = F.col(value).cast("double")
+    # One spelling per value: zero has no sign, NaN one bit pattern.
+    number = F.when(F.isnan(number), F.lit(float("nan"))).otherwise(number + F.lit(0.0))
+    values = df.where(F.col(value).isNotNull()).select(*keys, number.alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    bits = ordered_bits(F.col("_v"))
+    digits = values.withColumns({"_d1": F.shiftright(bits, below[0]), "_d2": F.shiftright(bits, below[1])})
+
+    top = digits.groupBy(*keys, "_d1").agg(F.sum("_c").alias("_c"))
+    top = top.withColumn("_n", F.sum("_c").over(W.partitionBy(*keys)))
+    place = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in place for f in (F.floor, F.ceil)]))
+    first = _narrowed(top.withColumns({"_before": F.lit(0).cast("long"), "_ranks": ranks}), keys, "_d1", ["_n"])
+
+    middle = keyed_join(digits.select(*keys, "_d1", "_d2", "_c"), first, [*keys, "_d1"])
+    middle = middle.groupBy(*keys, "_d1", "_d2", "_before", "_ranks", "_n").agg(F.sum("_c").alias("_c"))
+    second = _narrowed(middle, [*keys, "_d1"], "_d2", ["_n"]).drop("_d1")
+
+    last = keyed_join(digits.select(*keys, "_d2", "_v", "_c"), second, [*keys, "_d2"])
+    found = _narrowed(last, [*keys, "_d2"], "_v", ["_n"]).select(*keys, "_n", "_v", F.explode("_ranks").alias("_r"))
+
+    at = found.groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at")
     )
 
-    # Position of each wanted rank relative to the start of its bracket.
-    def place(i: int) -> Column:
-        return (F.col("_n") - 1) * F.lit(float(probs[i]))
-
-    def pick(i: int, rank: Column) -> Column:
-        at = rank.cast("long") - F.col(f"_below{i}")
-        hit = (F.col("_p") == i) & (at >= F.col("_start")) & (at < F.col("_start") + F.col("_c"))
-        return F.max(F.when(hit, F.col("_v")))
-
-    totals = keyed_join(ranked, outside, keys)
-    picked = totals.groupBy(*keys).agg(
-        F.first("_n").alias("_n"),
-        *[
-            e
-            for i in range(len(probs))
-            for e in (
-                pick(i, F.floor(place(i))).alias(f"_lo{i}"),
-                pick(i, F.ceil(place(i))).alias(f"_hi{i}"),
-                F.first(f"_under{i}").alias(f"_under{i}"),
-                F.first(f"_over{i}").alias(f"_over{i}"),
-                F.first(f"_below{i}").alias(f"_below{i}"),
-                F.max(F.when(F.col("_p") == i, F.col("_start") + F.col("_c"))).alias(f"_inside{i}"),
-            )
-        ],
-    )
-
-    # A rank just outside its bracket is the neighbouring value that was kept for this case.
-    out = []
-    for i, name in enumerate(names):
-        below, over = F.floor(place(i)) < F.col(f"_below{i}"), F.ceil(place(i)) < F.col(f"_below{i}")
-        lo = F.coalesce(F.col(f"_lo{i}"), F.when(below, F.col(f"_under{i}")).otherwise(F.col(f"_over{i}")))
-        hi = F.coalesce(F.col(f"_hi{i}"), F.when(over, F.col(f"_under{i}")).otherwise(F.col(f"_over{i}")))
-        share = place(i) - F.floor(place(i))
+    def interpolated(x: Column) -> Column:
+        lo, hi = (F.try_element_at(F.col("_at"), f(x).cast("long")) for f in (F.floor, F.ceil))
+        share = x - F.floor(x)
         # Between equal values, infinite ones included, and exactly on a value there is nothing to interpolate.
-        value = F.when((share == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * share)
-        known_rank = (F.col(f"_below{i}") <= F.floor(place(i)) + 1) & (
-            F.ceil(place(i)) <= F.col(f"_below{i}") + F.col(f"_inside{i}")
-        )
-        failed = F.raise_error(F.lit("quantile bracket misses its rank; lower the accuracy")).cast("double")
-        out.append(F.when(known_rank, value).otherwise(failed).alias(name))
-    return picked.select(*keys, *out)
+        return F.when((share == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * share)
+
+    return at.select(*keys, *[interpolated(x).alias(name) for x, name in zip(place, names, strict=True)])
 
 
 def median_exact(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
