@@ -87,6 +87,11 @@ def test_split_boundaries(spark):
     df = spark.createDataFrame([(r,) for r in rows], "t string").withColumn("t", F.col("t").cast("timestamp"))
     got = [r["split"] for r in frames.split_chronological(df, "t").orderBy("t").collect()]
     assert got == ["train", "val", "val", "test"]
+    rows = ["2015-05-05 00:00:00", "2020-12-31 23:00:00", "2021-01-01 00:00:00", "2024-12-31 23:00:00", "2025-01-01 00:00:00", "2030-05-05 00:00:00"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").withColumn("t", F.col("t").cast("timestamp"))
+    assert [r["split"] for r in frames.split_chronological(df, "t").orderBy("t").collect()] == [None, None, "train", "test", None, None]
+    open_ended = frames.split_chronological(df, "t", train_start=None, test_end=None).orderBy("t").collect()
+    assert [r["split"] for r in open_ended] == ["train"] * 3 + ["test"] * 3
 
 
 def test_half_even_rounding(spark):

@@ -1,3 +1,4 @@
+import gzip
 import json
 from datetime import datetime
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.windows import dedupe_first
-from tidemark.plans.jobs import LoadConfig, backfill, incremental_load
+from tidemark.plans.jobs import LoadConfig, backfill, incremental_load, refresh_features
 from tidemark.sinks import tables
 from tidemark.sources import files
 from tidemark.sources.schemas import PREDICTIONS, PRICES, TABLES
@@ -207,12 +208,99 @@ def test_two_buses_rejected_lines_and_unreadable_overlaps(spark, tmp_path):
     price_file(tmp_path / "b.tsv", price(day, 7, "?", "BA01"), price(day, 8, "", "BA02"))
     cfg = LoadConfig(root=str(tmp_path / "out"), prices=[str(tmp_path / "a.tsv"), str(tmp_path / "b.tsv")])
     loaded = backfill(spark, cfg)
-    assert loaded.details["cmg"] == {"attempted": 49, "inserted": 48, "ignored": 0, "rejected": 1} and not loaded.failed
+    # Two lines repeat an hour, and count as ignored.
+    assert loaded.details["cmg"] == {"attempted": 51, "inserted": 48, "ignored": 2, "rejected": 1} and not loaded.failed
     stored = tables.read_table(spark, f"{cfg.root}/marginal_costs", PRICES)
     assert stored.where("is_imputed").count() == 0 and {r[0] for r in stored.select("barra").collect()} == {"BA01", "BA02"}
     assert spark.read.parquet(f"{cfg.root}/quarantine/prices").select("line", "reason").collect() == [("cut\toff", "no usable time")]
     again = backfill(spark, cfg).details["cmg"]
-    assert again == {"attempted": 49, "inserted": 0, "ignored": 48, "rejected": 1}
+    assert again == {"attempted": 51, "inserted": 0, "ignored": 50, "rejected": 1}
+    assert spark.read.parquet(f"{cfg.root}/quarantine/prices").groupBy("load").count().count() == 2
+    became = spark.read.parquet(f"{cfg.root}/outcomes/prices").where(F.col("load") == loaded.name).orderBy("file").collect()
+    assert [(r["file"][-5:], r["n_lines"], r["used"], r["other"], r["rejected"], r["error"]) for r in became] == [
+        ("a.tsv", 49, 48, 0, 1, None), ("b.tsv", 2, 2, 0, 0, None),
+    ]
+
+
+def test_a_given_bus_name_rejects_no_line_without_a_code(spark, tmp_path):
+    rows = [price("2024-01-10", h, "50,0", "" if h == 3 else "BA01") for h in range(1, 25)]
+    path = price_file(tmp_path / "a.tsv", *rows, rows[0], rows[1])
+    assert [r["reason"] for r in files.rejected_prices(spark, path).collect()] == ["no bus"]
+    assert files.rejected_prices(spark, path, barra="B").count() == 0
+    named = backfill(spark, LoadConfig(root=str(tmp_path / "named"), prices=path, barra="B")).details["cmg"]
+    assert named == {"attempted": 26, "inserted": 24, "ignored": 2, "rejected": 0}
+    coded = backfill(spark, LoadConfig(root=str(tmp_path / "coded"), prices=path)).details["cmg"]
+    assert coded == {"attempted": 26, "inserted": 23, "ignored": 2, "rejected": 1}
+
+
+def hours_of(day, cells, order=None, extra=()):
+    names = ["Tipo", "Subtipo", "Fecha", *files.HOUR_COLUMNS, *extra]
+    row = dict(zip(names, ["Solar", "x", day, *cells, *extra], strict=True))
+    names = sorted(names, key=order) if order else names
+    return "\t".join(names), "\t".join(row[n] for n in names)
+
+
+def test_files_with_their_own_column_order(spark, tmp_path):
+    cells = [f"{h},25" for h in range(24)]
+    layouts = [None, lambda n: n[::-1], lambda n: (len(n), n)]
+    for i, order in enumerate(layouts):
+        head, row = hours_of(f"2024-01-1{i}", cells, order, extra=["Nota"] * (i == 2))
+        (tmp_path / f"g {i}.tsv").write_text(f"{head}\n{row}\n{head}\n\n", encoding="utf-8")
+    got = files.read_generation_tsv(spark, str(tmp_path / "g *.tsv")).orderBy("datetime").collect()
+    assert [r["gen_solar_mw"] for r in got] == [h + 0.25 for h in range(24)] * 3
+    text = ["fecha;central;cota_msnm\n01/01/2019;Colbún;400,5\n", 'cota_msnm;"nota; x";central; Fecha \n500,5;"a;""b""";Laja;15/01/2019\n']
+    for i, x in enumerate(text):
+        (tmp_path / f"r{i}.csv").write_bytes(b"\xef\xbb\xbf" * i + x.encode("latin-1"))
+    month = files.read_reservoir_csv(spark, str(tmp_path / "r*.csv")).collect()
+    assert [(str(r["date"]), r["avg_cota_msnm"], r["n_embalses"]) for r in month] == [("2019-01-01", 450.5, 2)]
+
+
+def test_broken_files_keep_no_other_from_loading(spark, tmp_path):
+    cells = ["1,0"] * 24
+    good = "\n".join(hours_of("2024-01-10", cells))
+    (tmp_path / "good.tsv").write_text(good + "\n" + "\t".join(["Solar", "x", "2024-99-99", *cells]) + "\nOtra\tx\t2024-01-10\n", encoding="utf-8")
+    (tmp_path / "lacks.tsv").write_text("Tipo\tFecha\nSolar\t2024-01-01\n", encoding="utf-8")
+    (tmp_path / "empty.tsv").write_text("")
+    whole = gzip.compress("\n".join([good, *[good.split("\n")[1]] * 5000]).encode())
+    (tmp_path / "cut.tsv.gz").write_bytes(whole[: len(whole) // 2])
+    cfg = LoadConfig(root=str(tmp_path / "out"), generation=str(tmp_path / "*.tsv*"))
+    loaded = backfill(spark, cfg)
+    assert loaded["generation"] == 24 and not loaded.failed
+    broken = {f.rsplit("/", 1)[1]: e for f, e in loaded.failed_files["generation"].items()}
+    assert set(broken) == {"lacks.tsv", "empty.tsv", "cut.tsv.gz"}
+    assert broken["empty.tsv"] == "no lines" and broken["lacks.tsv"].startswith("missing columns Hora 1, Hora 10")
+    became = spark.read.parquet(f"{cfg.root}/outcomes/generation").where("error IS NULL").collect()
+    assert [(r["n_lines"], r["used"], r["other"], r["rejected"]) for r in became] == [(3, 1, 1, 1)]
+    assert spark.read.parquet(f"{cfg.root}/quarantine/generation").first()["reason"] == "no usable date"
+    with pytest.raises(ValueError, match="missing columns|no lines|cut"):
+        files.read_generation_tsv(spark, str(tmp_path / "*.tsv*"))
+    only = backfill(spark, LoadConfig(root=str(tmp_path / "none"), generation=str(tmp_path / "lacks.tsv")))
+    assert "missing columns" in only.failed["generation"]
+
+
+def test_outcomes_of_scanned_files(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("k\tv\n1\t2\n3\n")
+    (tmp_path / "b.tsv").write_text("k\tv\n5\t6\n")
+    whole = gzip.compress(("k\tv\n" + "".join(f"{i}\t{i * 7919 % 10007}\n" for i in range(50000))).encode())
+    (tmp_path / "c.tsv.gz").write_bytes(whole[: len(whole) // 2])
+    good, bad, became = files.scan_files(spark, str(tmp_path / "*.tsv*"), files.text_schema(["k", "v"]), sep="\t")
+    assert sorted(r["k"] for r in good.collect()) == ["1", "5"] and bad.count() == 1
+    rows = {r["file"].rsplit("/", 1)[1]: r for r in became.collect()}
+    assert [(n, r["n_lines"], r["used"], r["rejected"], r["error"] is None) for n, r in sorted(rows.items())] == [
+        ("a.tsv", 2, 1, 1, True), ("b.tsv", 1, 1, 0, True), ("c.tsv.gz", 0, 0, 0, False),
+    ]
+    assert "nexpected end" in rows["c.tsv.gz"]["error"]
+
+
+def test_broken_price_and_weather_files(spark, tmp_path):
+    cfg = config(tmp_path)
+    whole = gzip.compress(("\n".join([PRICE_HEAD, *["\t".join(price("2024-01-10", 1, str(i))) for i in range(20000)]])).encode())
+    (tmp_path / "cmg_9.tsv.gz").write_bytes(whole[: len(whole) // 2])
+    payload(tmp_path / "w2.json", None)
+    cfg = LoadConfig(root=cfg.root, prices=str(tmp_path / "cmg_*"), weather=str(tmp_path / "w*.json"))
+    loaded = backfill(spark, cfg)
+    assert (loaded["cmg"], loaded["weather"]) == (96, 4) and not loaded.failed
+    assert {s: [f.rsplit("/", 1)[1] for f in e] for s, e in loaded.failed_files.items()} == {"prices": ["cmg_9.tsv.gz"], "weather": ["w2.json"]}
 
 
 def test_arriving_files_are_loaded_once_and_late_rows_fill_holes(spark, tmp_path):
@@ -227,3 +315,62 @@ def test_arriving_files_are_loaded_once_and_late_rows_fill_holes(spark, tmp_path
     assert load() == [("2024-01-10 03:00:00", 10.0)]
     price_file(box / "b.tsv", price("2024-01-10", 1, "99"), price("2024-01-10", 2, "20"))
     assert load() == [("2024-01-10 03:00:00", 10.0), ("2024-01-10 04:00:00", 20.0)]
+
+
+def test_a_load_killed_midway_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    schema = "datetime timestamp, v double"
+
+    def rows(*days):
+        return spark.createDataFrame([(datetime(2024, 1, d), float(d)) for d in days], schema)
+
+    def stored():
+        return sorted(r["v"] for r in tables.read_table(spark, path, rows(1).schema).collect())
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    for days, before in (((1, 2), []), ((2, 3), [1.0, 2.0])):
+        with monkeypatch.context() as m:
+            m.setattr(tables, "commit_load", killed)
+            with pytest.raises(KeyboardInterrupt):
+                tables.insert_if_absent(spark, rows(*days), path, ["datetime"])
+        assert stored() == before
+        assert tables.insert_if_absent(spark, rows(*days), path, ["datetime"])["inserted"] == len(set(days) - set(map(int, before)))
+    assert stored() == [1.0, 2.0, 3.0] and len(tables.committed_loads(spark, path)) == 2
+
+
+def test_a_batch_is_evaluated_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(datetime(2024, 1, d), float(d)) for d in range(1, 6)], "datetime timestamp, v double")
+    got = tables.insert_if_absent(spark, df.mapInPandas(counted, df.schema), str(tmp_path / "t"), ["datetime"])
+    assert got == {"attempted": 5, "inserted": 5, "ignored": 0} and seen.value == 5
+
+
+def test_refresh_replaces_touched_months_only(spark, tmp_path):
+    root = str(tmp_path)
+
+    def load(table, rows, schema):
+        tables.load_table(spark, spark.createDataFrame(rows, schema), root, table)
+
+    def features():
+        rows = spark.read.parquet(f"{root}/feature_store").orderBy("datetime").collect()
+        return [(str(r["datetime"])[:10], r["demand_mw"] and float(r["demand_mw"]), r["temp_max_c"] and float(r["temp_max_c"])) for r in rows]
+
+    hours = [datetime(2024, m, d, 12) for m, d in ((1, 15), (2, 15), (3, 1))]
+    load("marginal_costs", [(t, "a", 1.0, False) for t in hours], "datetime timestamp, barra string, cmg_usd_mwh double, is_imputed boolean")
+    assert refresh_features(spark, root, "r") == ["2024-01", "2024-02", "2024-03"]
+    assert features() == [("2024-01-15", None, None), ("2024-02-15", None, None), ("2024-03-01", None, None)]
+    load("demand", [(hours[1], 7.0)], "datetime timestamp, demand_mw double")
+    assert refresh_features(spark, root, "r") == ["2024-02"]
+    load("weather", [(hours[2].date(), "r", 20.0, 0.0)], "date date, region string, temp_max_c double, precip_mm double")
+    # A local day reaches into two UTC days, here of two months.
+    assert refresh_features(spark, root, "r") == ["2024-02", "2024-03"]
+    assert features() == [("2024-01-15", None, None), ("2024-02-15", 7.0, None), ("2024-03-01", None, 20.0)]
+    assert refresh_features(spark, root, "r") == []

@@ -18,6 +18,7 @@ from tidemark.catalog.stand_ins import (
     with_ctes,
 )
 from tidemark.operators import gaps, joins, selection
+from tidemark.operators.calendar import national_holidays
 from tidemark.plans.cleaning import clean_generation
 from tidemark.plans.features import FEATURES, build_feature_matrix
 from tidemark.session import scratch_path
@@ -126,7 +127,7 @@ def _drivers(spark, sf):
 DEMAND_SQL = "(SELECT hour AS datetime, sum(value) AS demand_mw FROM h WHERE event_type = 'view' GROUP BY 1)"
 
 
-def _demand(spark, sf):
+def demand(spark, sf):
     return hourly(spark, sf).where(F.col("event_type") == "view").select(
         F.col("hour").alias("datetime"), F.col("value").alias("demand_mw")
     )
@@ -134,7 +135,7 @@ def _demand(spark, sf):
 
 def _feature_store(spark, sf):
     return joins.join_feature_store(
-        prices(spark, sf), generation(spark, sf), _demand(spark, sf), reservoirs(spark, sf), weather(spark, sf),
+        prices(spark, sf), generation(spark, sf), demand(spark, sf), reservoirs(spark, sf), weather(spark, sf),
         region="signup",
     )
 
@@ -225,6 +226,31 @@ def _holiday(spark, sf):
     return joins.lookup_holiday(e, "day", holidays(spark, sf)).drop("day")
 
 
+CALENDAR_SQL = """WITH y AS (SELECT unnest(range(2005, 2031)) AS y),
+  p AS (SELECT y, (19 * (y % 19) + y // 100 - y // 400 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM y),
+  q AS (SELECT y, h, (32 + 2 * ((y // 100) % 4) + 2 * ((y % 100) // 4) - h - (y % 100) % 4) % 7 AS l FROM p),
+  r AS (SELECT y, h + l - 7 * ((y % 19 + 11 * h + 22 * l) // 451) + 114 AS t, (y - 2000) / 1000.0::DOUBLE AS k FROM q),
+  s AS (SELECT y, make_date(y, t // 31, t % 31 + 1) AS easter, DATE '2000-01-01' + CAST(floor(
+          2451716.56767::DOUBLE + k * 365241.62603::DOUBLE + k * k * 0.00325::DOUBLE - 2451544.5::DOUBLE - 4 / 24::DOUBLE) AS INTEGER) AS solstice FROM r),
+  d AS (
+    SELECT make_date(y, m, n) AS d FROM y, (VALUES (1, 1), (5, 1), (5, 21), (7, 16), (8, 15), (9, 18), (9, 19), (11, 1), (12, 8), (12, 25)) f(m, n)
+    UNION SELECT easter - 2 FROM s UNION SELECT easter - 1 FROM s UNION SELECT solstice FROM s WHERE y >= 2021
+    UNION SELECT CASE WHEN isodow(x) BETWEEN 2 AND 4 THEN x - CAST(isodow(x) - 1 AS INTEGER) WHEN isodow(x) = 5 THEN x + 3 ELSE x END
+      FROM (SELECT make_date(y, 6, 29) AS x FROM y UNION ALL SELECT make_date(y, 10, 12) FROM y)
+    UNION SELECT CASE isodow(x) WHEN 2 THEN x - 4 WHEN 3 THEN x + 2 ELSE x END FROM (SELECT make_date(y, 10, 31) AS x FROM y WHERE y >= 2008)
+    UNION SELECT x - 1 FROM (SELECT y, make_date(y, 9, 18) AS x FROM y) WHERE isodow(x) = 2 AND y >= 2007 OR isodow(x) = 6 AND y >= 2017
+    UNION SELECT x + 2 FROM (SELECT y, make_date(y, 9, 18) AS x FROM y) WHERE isodow(x) = 4 AND y >= 2007
+    UNION SELECT x + 1 FROM (SELECT y, make_date(y, 1, 1) AS x FROM y) WHERE isodow(x) = 7 AND y >= 2017)
+SELECT o_orderkey, CAST(o_orderdate + INTERVAL 20 YEAR AS DATE) IN (SELECT d FROM d) AS is_holiday FROM orders"""
+
+
+@register("holiday_calendar", CALENDAR_SQL)
+def _calendar(spark, sf):
+    # Orders moved on by twenty years, into those of the rules.
+    o = table(spark, sf, "orders").select("o_orderkey", F.add_months(F.to_date("o_orderdate"), 240).alias("day"))
+    return joins.lookup_holiday(o, "day", national_holidays(spark, 2005, 2030)).drop("day")
+
+
 @register(
     "anti_existing",
     """SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND NOT EXISTS (
@@ -319,7 +345,7 @@ def _clean_generation(spark, sf):
     return clean_generation(raw.withColumn("series", F.lit("all")), ["series"]).select("datetime", *GENERATION_COLUMNS)
 
 
-def _matrix_sql() -> str:
+def matrix_sql() -> str:
     lag = ", ".join(f"lag(cmg_usd_mwh, {h}) OVER w AS lag_cmg_usd_mwh_{h}h" for h in (1, 2, 3, 6, 12, 24, 168))
     roll = ", ".join(
         f"{fn}(cmg_usd_mwh) OVER (PARTITION BY barra ORDER BY datetime ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
@@ -345,19 +371,19 @@ def _matrix_sql() -> str:
                       ASOF LEFT JOIN (SELECT CAST(date AS TIMESTAMP) AS at, temp_max_c FROM weather WHERE region = 'signup') w
                         ON j.datetime >= w.at)
                 WINDOW f AS (PARTITION BY barra ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-          WHERE datetime BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-26'
+          WHERE datetime BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2025-01-01'
           WINDOW w AS (PARTITION BY barra ORDER BY datetime))""",
     )
 
 
 @register(
     "build_feature_matrix",
-    _matrix_sql(),
+    matrix_sql(),
     floats={c: 6 for c in FEATURES if c.startswith(("rolling", "hora", "dow", "mes"))} | {"gen_total_mw": 4},
 )
 def feature_matrix(spark, sf):
     sky = weather(spark, sf).where(F.col("region") == "signup")
     return build_feature_matrix(
         prices(spark, sf), generation(spark, sf), reservoirs(spark, sf), sky, holidays(spark, sf),
-        "2024-01-01", "2024-01-25",
+        "2024-01-01", "2024-12-31", holiday_years=(2023, 2024),
     )

@@ -8,17 +8,22 @@ from pyspark.sql import types as T
 
 from tidemark.catalog.base import register, table
 from tidemark.catalog.evaluation import stored_predictions
+from tidemark.catalog.gaps_and_joins import STORE_SQL, demand
 from tidemark.catalog.scalars import HOURS, wide_hours
-from tidemark.catalog.stand_ins import hourly, weather, with_ctes
+from tidemark.catalog.stand_ins import generation, hourly, prices, reservoirs, weather, with_ctes
 from tidemark.operators.selection import union_files
-from tidemark.plans.jobs import LoadConfig, backfill, incremental_load
+from tidemark.plans.jobs import LoadConfig, backfill, incremental_load, refresh_features
 from tidemark.session import prepare, scratch_path
 from tidemark.sinks.tables import insert_if_absent, load_table, read_table
+from tidemark.sources.delimited import outcomes
 from tidemark.sources.files import (
+    generation_lines,
+    hourly_generation,
     read_generation_tsv,
     read_price_tsv,
     read_reservoir_csv,
     read_weather_json,
+    scan_files,
     scan_glob,
     text_schema,
 )
@@ -70,6 +75,29 @@ def write_generation_files(spark: SparkSession, sf: str) -> str:
     return path
 
 
+def write_generation_layouts(spark: SparkSession, sf: str) -> str:
+    """The same lines in three folders: columns in their usual order, in reverse with one more, and without the last hour.
+
+    The day of the month says which; on every fifth day the lines of signups have no usable date.
+    """
+    path = scratch_path(spark, "generation-layouts")
+    day = F.dayofmonth("day")
+    broken = (F.col("event_type") == "signup") & (day % 5 == 0)
+    rows = wide_hours(spark, sf).select(
+        (day % 3).alias("layout"),
+        _named({k: v[0] for k, v in PLANTS.items()}, "event_type").alias("Tipo"),
+        _named({k: v[1] for k, v in PLANTS.items()}, "event_type").alias("Subtipo"),
+        F.when(broken, "2024-13-45").otherwise(F.date_format("day", "yyyy-MM-dd")).alias("Fecha"),
+        *[_comma(F.col(c)).alias(c) for c in HOURS],
+    )
+    names = rows.columns[1:]
+    orders = {0: names, 1: ["Nota", *names[::-1]], 2: names[:-1]}
+    for layout, order in orders.items():
+        part = rows.where(F.col("layout") == layout).withColumn("Nota", F.lit("x")).select(*order)
+        part.write.options(sep="\t", header="true").csv(f"{path}/layout={layout}")
+    return f"{path}/*/*.csv"
+
+
 def write_reservoir_files(spark: SparkSession, sf: str) -> str:
     path = scratch_path(spark, "reservoir-files")
     rows = table(spark, sf, "orders").select(
@@ -126,6 +154,44 @@ def _read_generation(spark, sf):
     return read_generation_tsv(spark, write_generation_files(spark, sf))
 
 
+LINES_SQL = """lines AS (SELECT event_type, CAST(hour AS DATE) AS day, day(hour) % 3 AS layout,
+    event_type = 'signup' AND day(hour) % 5 = 0 AS bad FROM h GROUP BY ALL)"""
+
+
+@register(
+    "read_generation_by_header",
+    with_ctes(
+        "h",
+        body=f", {LINES_SQL}, kept AS (SELECT h.* FROM h JOIN lines ON lines.event_type = h.event_type"
+        " AND lines.day = CAST(hour AS DATE) WHERE layout <> 2 AND NOT bad)"
+        f" SELECT * REPLACE (CAST(gen_hydro_runofriver_mw AS DOUBLE) AS gen_hydro_runofriver_mw, CAST(gen_coal_mw AS DOUBLE) AS gen_coal_mw,"
+        f" CAST(gen_diesel_mw AS DOUBLE) AS gen_diesel_mw) FROM ({GENERATION_FILE_SQL.replace('FROM h', 'FROM kept')})",
+    ),
+    floats={"gen_total_mw": 4},
+)
+def _generation_by_header(spark, sf):
+    lines, _ = generation_lines(spark, write_generation_layouts(spark, sf))
+    return hourly_generation(lines)
+
+
+@register(
+    "generation_file_outcomes",
+    with_ctes(
+        "h",
+        body=f""", {LINES_SQL}, good AS (SELECT *, event_type = 'view' AS outside FROM lines WHERE layout <> 2)
+        SELECT layout, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (NOT bad AND NOT outside) AS BIGINT) AS used,
+          CAST(count(*) FILTER (NOT bad AND outside) AS BIGINT) AS other, CAST(count(*) FILTER (bad) AS BIGINT) AS rejected,
+          CAST(NULL AS VARCHAR) AS error FROM good GROUP BY layout
+        UNION ALL SELECT 2, 0, 0, 0, 0, 'missing columns Hora 24'""",
+    ),
+)
+def _generation_outcomes(spark, sf):
+    lines, files = generation_lines(spark, write_generation_layouts(spark, sf))
+    found = outcomes(lines, files).withColumn("layout", F.regexp_extract("file", "layout=([0-9])", 1).cast("long"))
+    sums = [F.sum(c).alias(c) for c in ("n_lines", "used", "other", "rejected")]
+    return found.groupBy("layout").agg(*sums, F.max("error").alias("error"))
+
+
 RESERVOIR_SQL = """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS date, avg(o_totalprice) AS avg_cota_msnm,
     CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS n_embalses
   FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1"""
@@ -165,6 +231,23 @@ def _scan_glob(spark, sf):
     return both.groupBy("broken").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("key").cast("long")).alias("keys"))
 
 
+@register(
+    "scan_files",
+    """SELECT CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n) FILTER (s <> 'P') AS BIGINT) AS used, 0 AS other,
+              CAST(sum(n) FILTER (s = 'P') AS BIGINT) AS rejected, 0 AS n_errors
+       FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1)""",
+)
+def _scan_files(spark, sf):
+    path = scratch_path(spark, "mixed-files")
+    line = F.when(F.col("o_orderstatus") == "P", F.col("o_custkey").cast("string")).otherwise(
+        F.concat_ws("\t", "o_custkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    )
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    _, _, became = scan_files(spark, f"{path}/part-*", text_schema(["key", "status", "day"]), sep="\t", header="false")
+    sums = [F.sum(c).alias(c) for c in ("n_lines", "used", "other", "rejected")]
+    return became.agg(*sums, F.count("error").alias("n_errors"))
+
+
 def _insert_twice(spark: SparkSession, sf: str) -> tuple[str, T.StructType, list[dict[str, int]]]:
     """Two overlapping slices of orders; the second offers other prices for known keys."""
     o = table(spark, sf, "orders").select("o_orderdate", "o_custkey", "o_orderkey", "o_totalprice")
@@ -241,7 +324,6 @@ def _config(spark: SparkSession, sf: str, root: str) -> LoadConfig:
         barra=None,
         region=r"region=([^/]+)",
         reservoir_from_year=1996,
-        trees=20,
     )
 
 
@@ -297,6 +379,50 @@ def _incremental(spark, sf):
     return _stored(spark, root, {step: n + again[step] for step, n in inserted.items()})
 
 
+@register(
+    "load_counts",
+    with_ctes(
+        "h",
+        body="""SELECT CAST(count(*) + count(*) FILTER (event_type = 'click') AS BIGINT) AS attempted,
+          CAST(count(*) FILTER (event_type <> 'error') AS BIGINT) AS inserted,
+          CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS ignored,
+          CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS rejected FROM h""",
+    ),
+)
+def _load_counts(spark, sf):
+    # Lines of clicks are there twice, those of errors lack the bus.
+    lines = spark.read.text(write_price_files(spark, sf)).where(~F.col("value").startswith("barra"))
+    again = lines.where(F.col("value").startswith("click"))
+    path = scratch_path(spark, "repeated-lines")
+    cut = F.regexp_replace("value", "^error", "")
+    head = spark.range(1).select(F.lit("\t".join(["barra", "referencia", "fecha", "hora", "usd", "clp", "nombre"])).alias("value"), F.lit(0).alias("at"))
+    body = lines.unionAll(again).select(cut.alias("value"), F.lit(1).alias("at"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    counts = backfill(spark, LoadConfig(root=scratch_path(spark, "tables"), prices=path, trees=1)).details["cmg"]
+    return spark.createDataFrame([tuple(counts[c] for c in COUNTS)], ", ".join(f"{c} long" for c in COUNTS))
+
+
+COUNTS = ("attempted", "inserted", "ignored", "rejected")
+
+
+@register("refresh_features", f"SELECT * EXCLUDE (precip_mm) FROM ({STORE_SQL})", floats={"gen_total_mw": 2})
+def _refresh(spark, sf):
+    """The feature table after two loads with a refresh behind each, against one built at once."""
+    root = scratch_path(spark, "tables")
+    sky = weather(spark, sf).withColumn("precip_mm", F.lit(None).cast("double"))
+    sources = {
+        "marginal_costs": prices(spark, sf), "generation_by_tech": generation(spark, sf), "demand": demand(spark, sf),
+        "reservoir_levels": reservoirs(spark, sf), "weather": sky,
+    }
+    cut = F.lit("2024-01-16").cast("timestamp")
+    for first in (True, False):
+        for name, rows in sources.items():
+            early = F.col(KEYS[name][0]).cast("timestamp") < cut
+            load_table(spark, rows.where(early if first else ~early), root, name)
+        refresh_features(spark, root, "signup")
+    return spark.read.parquet(f"{root}/feature_store").drop("month", "precip_mm")
+
+
 @register(
     "stream_prices",
     with_ctes(

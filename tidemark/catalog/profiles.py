@@ -172,7 +172,7 @@ def _describe(spark, sf):
 )
 def _split_stats(spark, sf):
     o = table(spark, sf, "orders").select("o_orderpriority", "o_orderdate", "o_totalprice")
-    labelled = frames.split_chronological(o, "o_orderdate", "1998-06-30", "1998-12-31")
+    labelled = frames.split_chronological(o, "o_orderdate", "1998-06-30", "1998-12-31", train_start=None, test_end=None)
     return aggregates.split_stats(labelled, PRIORITY, "o_totalprice")
 
 

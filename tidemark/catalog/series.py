@@ -197,10 +197,14 @@ def _minmax_inverse(spark, sf):
 
 @register(
     "split_chronological",
-    """SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1998-07-01' THEN 'train'
-                               WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'val' ELSE 'test' END AS split
+    """SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN NULL
+                               WHEN o_orderdate < TIMESTAMP '1998-07-01' THEN 'train'
+                               WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'val'
+                               WHEN o_orderdate < TIMESTAMP '1999-07-01' THEN 'test' END AS split
        FROM orders""",
 )
 def _split(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    return frames.split_chronological(orders, "o_orderdate", "1998-06-30", "1998-12-31").drop("o_orderdate")
+    return frames.split_chronological(
+        orders, "o_orderdate", "1998-06-30", "1998-12-31", train_start="1996-01-01", test_end="1999-06-30"
+    ).drop("o_orderdate")

@@ -54,9 +54,9 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def map_category(
-    df: DataFrame, mapping: DataFrame, kind: str, subkind: str, name: str = "category"
+    df: DataFrame, mapping: DataFrame, kind: str, subkind: str, name: str = "category", keep_others: bool = False
 ) -> DataFrame:
-    """Attach the category of (kind, subkind) and drop rows that have none.
+    """Attach the category of (kind, subkind) and drop rows that have none, unless ``keep_others``.
 
     ``mapping`` has columns kind, subkind, category; a NULL subkind there stands for any.
     """
@@ -66,13 +66,13 @@ def map_category(
     general = mapping.where(F.col("subkind").isNull()).select(
         F.col("kind").alias("_k2"), F.col("category").alias("_c2")
     )
-    return (
+    mapped = (
         df.join(exact, (F.col(kind) == F.col("_k1")) & (F.col(subkind) == F.col("_s1")), "left")
         .join(general, F.col(kind) == F.col("_k2"), "left")
         .withColumn(name, F.coalesce("_c1", "_c2"))
         .drop("_k1", "_s1", "_c1", "_k2", "_c2")
-        .where(F.col(name).isNotNull())
     )
+    return mapped if keep_others else mapped.where(F.col(name).isNotNull())
 
 
 def filter_in_list(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
@@ -167,17 +167,29 @@ def time_range(
 
 
 def split_chronological(
-    df: DataFrame, ts: str, train_end: str = TRAIN_END, val_end: str = VAL_END, name: str = "split"
+    df: DataFrame,
+    ts: str,
+    train_end: str = TRAIN_END,
+    val_end: str = VAL_END,
+    name: str = "split",
+    train_start: str | None = TRAIN_START,
+    test_end: str | None = TEST_END,
 ) -> DataFrame:
-    """Label rows train, val or test; the two end days belong whole to the earlier part."""
+    """Label rows train, val or test; end days belong whole to the earlier part.
+
+    Rows before ``train_start`` and after the day ``test_end`` belong to no part: NULL. None leaves that side open.
+    """
     day = F.expr("INTERVAL 1 DAY")
     at = F.col(ts).cast("timestamp")
-    return df.withColumn(
-        name,
-        F.when(at < F.lit(train_end).cast("timestamp") + day, "train")
-        .when(at < F.lit(val_end).cast("timestamp") + day, "val")
-        .otherwise("test"),
-    )
+
+    def until(end: str) -> Column:
+        return at < F.lit(end).cast("timestamp") + day
+
+    label = F.when(until(train_end), "train").when(until(val_end), "val")
+    label = label.otherwise("test") if test_end is None else label.when(until(test_end), "test")
+    if train_start is not None:
+        label = F.when(at >= F.lit(train_start).cast("timestamp"), label)
+    return df.withColumn(name, label)
 
 
 def error_columns(df: DataFrame, actual: str, predicted: str) -> DataFrame:

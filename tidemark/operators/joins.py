@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import DEFAULT_TZ, utc_to_local
+from tidemark.operators.buckets import time_slots
 from tidemark.operators.gaps import bfill
 from tidemark.operators.keyed import keyed_join, require_keys
 
@@ -78,6 +79,27 @@ def join_eda(prices: DataFrame, generation: DataFrame, weather: DataFrame, regio
     )
 
 
+def _with_next_time(slow: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_to``, the time of the next row of the same key after ``_from``.
+
+    Inside a clock slot a window says so; for a slot's last row it is the first time of the next slot
+    that has rows, which comes from one summary row per slot. Without keys these summaries are one
+    array, as long as the slow table has slots.
+    """
+    slotted = time_slots(slow, "_from")
+    inside = F.lead("_from").over(W.partitionBy(*keys, "_slot").orderBy("_from"))
+    firsts = slotted.groupBy(*keys, "_slot").agg(F.min("_from").alias("_first"))
+    if keys:
+        after = F.lead("_first").over(W.partitionBy(*keys).orderBy("_slot"))
+        summary = firsts.select(*keys, "_slot", after.alias("_after"))
+        placed = keyed_join(slotted.withColumn("_to", inside), summary, [*keys, "_slot"])
+    else:
+        every = firsts.agg(F.array_sort(F.collect_list(F.struct("_slot", "_first")))).scalar()
+        later = F.get(F.filter("_every", lambda s: s["_slot"] > F.col("_slot")), F.lit(0))
+        placed = slotted.withColumns({"_to": inside, "_every": every}).withColumn("_after", later["_first"])
+    return placed.withColumn("_to", F.coalesce("_to", "_after")).drop("_slot", "_after", "_every")
+
+
 def asof_ffill(
     fast: DataFrame,
     slow: DataFrame,
@@ -103,8 +125,7 @@ def asof_ffill(
     keys = list(keys)
     moment, at = F.col(slow_ts).cast("timestamp"), F.col(fast_ts).cast("timestamp")
     last_day = slow.agg(F.to_date(F.max(moment))).scalar()
-    ordered = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_from")
-    spans = slow.select(*keys, moment.alias("_from"), *cols).withColumn("_to", F.lead("_from").over(ordered))
+    spans = _with_next_time(slow.select(*keys, moment.alias("_from"), *cols), keys)
     twice = F.raise_error(F.lit("several slow rows of one key at one time"))
     spans = spans.withColumn("_to", F.when(F.col("_to") == F.col("_from"), twice.cast("timestamp")).otherwise(F.col("_to")))
     until = F.coalesce(F.to_date("_to"), last_day)
@@ -121,11 +142,25 @@ def asof_ffill(
     return joined
 
 
-def lookup_holiday(df: DataFrame, date: str, holidays: DataFrame, name: str = "is_holiday") -> DataFrame:
-    """True where the date occurs in the holiday table's ``date`` column."""
-    days = holidays.select(F.col("date").alias("_holiday")).distinct()
+def lookup_holiday(
+    df: DataFrame, date: str, holidays: DataFrame, name: str = "is_holiday", years: tuple[int, int] | None = None
+) -> DataFrame:
+    """True where the date occurs in the holiday table's ``date`` column.
+
+    The table covers ``years`` (first and last), or from its first to its last year; a date outside
+    is an error, since it is not known whether it is a holiday. NULL dates are none.
+    """
+    days = holidays.select(F.col("date").cast("date").alias("_holiday")).distinct()
+    if years is None:
+        known = holidays.agg(F.struct(F.min(F.year("date")).alias("first"), F.max(F.year("date")).alias("last"))).scalar()
+        first, last = known["first"], known["last"]
+    else:
+        first, last = map(F.lit, years)
+    at = F.year(F.col(date))
+    unknown = F.raise_error(F.concat(F.lit("no holidays are known for the year "), at.cast("string"))).cast("boolean")
+    covered = at.isNull() | F.coalesce(at.between(first, last), F.lit(False))
     return df.join(days, F.col(date) == F.col("_holiday"), "left").withColumn(
-        name, F.col("_holiday").isNotNull()
+        name, F.when(covered, F.col("_holiday").isNotNull()).otherwise(unknown)
     ).drop("_holiday")
 
 

@@ -41,6 +41,7 @@ def build_feature_matrix(
     lookback: bool = False,
     bfill_missing: bool = True,
     mode: str = "rows",
+    holiday_years: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(barra, datetime) with the target, its imputed flag and all features.
 
@@ -48,7 +49,8 @@ def build_feature_matrix(
     start of ``start`` to 24 hours after the start of ``end``, both included. By default the
     range is cut before the lags, so the first rows have none; ``lookback`` computes lags over
     the whole history first. ``bfill_missing`` fills slow values that are still NULL from
-    later hours, a look into the future kept for equal results.
+    later hours, a look into the future kept for equal results. ``holiday_years`` are the years that
+    ``holidays`` covers; a local date outside is an error.
     """
     last = str(_next_day(end))
     # Filling from later hours may need rows past the end, so that cut waits until after it.
@@ -70,7 +72,7 @@ def build_feature_matrix(
     matrix = time_range(matrix, "datetime", start if lookback else None, None if last_cut else last)
     matrix = weekend_flag(cyclic_encode(matrix, "datetime", tz), "datetime", tz)
     matrix = matrix.withColumn("_date", F.to_date(utc_to_local(F.col("datetime"), tz)))
-    matrix = lookup_holiday(matrix, "_date", holidays)
+    matrix = lookup_holiday(matrix, "_date", holidays, years=holiday_years)
     return matrix.where(F.col(TARGET).isNotNull()).select("barra", "datetime", TARGET, "is_imputed", *FEATURES)
 
 

@@ -1,11 +1,14 @@
 """Parquet tables partitioned by month of their time column, with insert-if-absent loads.
 
-Plain Parquet has no row-level merge: each table has one writer at a time. A load that fails
-part-way can simply be run again.
+Every load writes a folder of its own and then commits it by creating one empty file below ``_committed``.
+Readers take committed loads only, so a load is there as a whole or not at all; one that failed
+part-way is run again. Plain Parquet has no row-level merge: each table has one writer at a time.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,21 +17,59 @@ from pyspark.sql import types as T
 
 from tidemark.functions import is_finite
 from tidemark.operators.joins import anti_existing
+from tidemark.operators.keyed import settled
 from tidemark.operators.windows import dedupe_first
 from tidemark.sources.schemas import KEYS, PREDICTIONS, REQUIRED, TABLES, fit_schema
 
 MONTH = "month"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+COMMITTED = "_committed"
+
+
+def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _file_system(spark, path)
+    return system.exists(where)
+
+
+def load_name() -> str:
+    """Names of loads sort by the time they began."""
+    return f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
+
+
+def committed_loads(spark: SparkSession, path: str) -> list[str] | None:
+    """Names of the loads that readers see; None if the table is not written by loads."""
+    where, system = _file_system(spark, f"{path}/{COMMITTED}")
+    if not system.exists(where):
+        return None
+    return sorted(s.getPath().getName() for s in system.listStatus(where))
+
 
+def commit_load(spark: SparkSession, path: str, name: str) -> None:
+    """Make a written load visible, by creating one file."""
+    where, system = _file_system(spark, f"{path}/{COMMITTED}/{name}")
+    system.create(where, False).close()
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The stored table with its month partition column; empty if nothing was written yet."""
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, loads: Sequence[str] | None = None) -> DataFrame:
+    """The stored table with its month partition column; empty if nothing was written yet.
+
+    ``loads`` picks some of the committed loads. A table that is not written by loads is read as it stands.
+    """
     full = T.StructType([*schema.fields, T.StructField(MONTH, T.StringType())])
-    return spark.read.schema(full).parquet(path) if exists(spark, path) else spark.createDataFrame([], full)
+    seen = committed_loads(spark, path)
+    if seen is None and exists(spark, path):
+        return spark.read.schema(full).parquet(path)
+    wanted = [x for x in seen or [] if loads is None or x in loads]
+    if not wanted:
+        return spark.createDataFrame([], full)
+    rows = spark.read.schema(full).option("basePath", path).parquet(*[f"{path}/load={x}" for x in wanted])
+    return rows.select(*full.fieldNames())
 
 
 def with_month(df: DataFrame, ts: str) -> DataFrame:
@@ -53,9 +94,10 @@ def insert_if_absent(
 
     Existing rows are never changed. Within the batch the smallest row by ``tie_break`` (then
     by the remaining columns) wins. Columns outside ``schema`` serve as tie-break only.
+    The batch is evaluated once, into a staged table; its rows and months are counted while it is written.
     Only the table partitions between the batch's first and last month are read. New rows are
-    rebalanced by month before the write, which keeps files few and splits a month that is too
-    large for one task; inserted rows are counted in the writing stage itself.
+    rebalanced by month, which keeps files few and splits a month that is too large for one task, and
+    become visible together, when the load is committed.
     """
     keys = list(keys)
     if not keys:
@@ -67,25 +109,31 @@ def insert_if_absent(
     ts = ts or keys[0]
 
     helpers = [c for c in tie_break if c not in schema.fieldNames()]
+    typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], *helpers)
+    given = Observation()
     month = F.date_format(F.col(ts), "yyyy-MM")
-    batch = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not batch["n"]:
+    batch = settled(typed.observe(given, F.min(month).alias("lo"), F.max(month).alias("hi"), F.count(F.lit(1)).alias("n")), "batch")
+    count = given.get
+    if not count["n"]:
         return insert_summary(0, 0)
 
-    typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], *helpers)
-    first = dedupe_first(typed, keys, tie_break).drop(*helpers)
-    stored = read_table(spark, path, schema).where(F.col(MONTH).between(batch["lo"], batch["hi"]))
-    watch = Observation()
+    first = dedupe_first(batch, keys, tie_break).drop(*helpers)
+    stored = read_table(spark, path, schema).where(F.col(MONTH).between(count["lo"], count["hi"]))
+    where, system = _file_system(spark, f"{path}/{COMMITTED}")
+    system.mkdirs(where)
+    name, watch = load_name(), Observation()
     (
         with_month(anti_existing(first, stored, keys), ts)
         .select(*schema.fieldNames(), MONTH)
         .hint("rebalance", MONTH)
         .observe(watch, F.count(F.lit(1)).alias("inserted"))
-        .write.mode("append")
-        .partitionBy(MONTH)
-        .parquet(path)
+        .write.partitionBy(MONTH)
+        .parquet(f"{path}/load={name}")
     )
-    return insert_summary(batch["n"], watch.get["inserted"])
+    inserted = watch.get["inserted"]
+    if inserted:
+        commit_load(spark, path, name)
+    return insert_summary(count["n"], inserted)
 
 
 def load_table(spark: SparkSession, df: DataFrame, root: str, table: str, tie_break: Sequence[str] = ()) -> dict[str, int]:
@@ -153,5 +201,13 @@ def materialize_features(wide: DataFrame, path: str, ts: str = "datetime") -> No
     )
 
 
+def touched_months(spark: SparkSession, path: str, loads: Sequence[str], ts: str, schema: T.StructType, around: int = 0) -> set[str]:
+    """Months (yyyy-MM) of the rows that these loads added, and of ``around`` days on each side of them."""
+    rows = read_table(spark, path, schema, loads)
+    days = F.array(*[F.date_add(F.to_date(ts), n) for n in range(-around, around + 1)])
+    found = rows.select(F.explode(days).alias("day")).select(F.date_format("day", "yyyy-MM").alias("m")).distinct()
+    return {r["m"] for r in found.collect()}
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)

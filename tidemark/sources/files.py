@@ -1,8 +1,8 @@
 """Raw file readers.
 
-Each reader takes any number of paths or globs and plans one scan. Cells arrive as text and
-are typed by expressions, so a bad cell becomes NULL; rows without a usable time go to a
-quarantine frame instead of breaking the load.
+Each reader takes any number of paths or globs. Cells arrive as text and are typed by expressions, so a
+bad cell becomes NULL. Every source has one typed frame of its lines with the reason why a line is
+rejected; readers take the usable lines, loads also store the others and count both.
 """
 
 from __future__ import annotations
@@ -16,18 +16,10 @@ from pyspark.sql import types as T
 from tidemark.functions import hour24_to_ts, local_to_utc, parse_date_strict, parse_decimal_comma, regex_hour, row_sum, tidy
 from tidemark.functions.clock import DEFAULT_TZ
 from tidemark.operators.aggregates import agg_month_mean_distinct
-from tidemark.operators.frames import (
-    ensure_columns,
-    fill_zero,
-    filter_in_list,
-    filter_year_from,
-    map_category,
-    normalize_header,
-    null_tokens,
-    require_columns,
-)
+from tidemark.operators.frames import MISSING_TOKENS, ensure_columns, fill_zero, map_category, null_tokens
 from tidemark.operators.reshape import explode_arrays, pivot_category, unpivot_hours
 from tidemark.session import prepare
+from tidemark.sources.delimited import Layout, listed_files, named_cells, outcomes, readable_files, require_good, survey
 from tidemark.sources.schemas import TECH_COLUMNS
 
 # Layouts and names of the raw files.
@@ -55,6 +47,8 @@ RESERVOIRS = ("Colbún", "Laja", "Maule", "Rapel", "Ralco", "Chapo", "Melado", "
 RESERVOIR_FROM_YEAR = 2019
 DEFAULT_BARRA = "Quillota 220kV"
 DEFAULT_REGION = "Santiago"
+GENERATION_LAYOUT = Layout("\t", (*GENERATION_REQUIRED, *HOUR_COLUMNS))
+RESERVOIR_LAYOUT = Layout(";", ("fecha", "central", "cota_msnm"), "ISO-8859-1", "fecha")
 ISO_DATE = "yyyy-M-d"
 DMY_DATE = "d/M/yyyy"
 
@@ -97,6 +91,27 @@ def scan_glob(
     return good, rows.where(F.col("_corrupt").isNotNull() & always)
 
 
+def scan_files(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, **options: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``scan_glob`` of the files that can be read, and the outcome of every file.
+
+    The third frame has file, n_lines, used, other (always 0), rejected and error; a file that breaks
+    off while it is read contributes nothing but its error.
+    """
+    readable, errors = readable_files(spark, paths)
+    if readable:
+        good, bad = scan_glob(spark, readable, schema, **options)
+    else:
+        good = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_file", T.StringType())]))
+        bad = good.withColumn("_corrupt", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    lines = good.select(F.col("_file").alias("file"), none.alias("reason")).unionByName(
+        bad.select(F.col("_file").alias("file"), F.coalesce("_corrupt", F.lit("")).alias("reason"))
+    )
+    return good, bad, outcomes(lines.withColumn("outside", F.lit(False)), listed_files(spark, paths, errors))
+
+
 def text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -182,9 +197,15 @@ def read_price_tsv(
     return usable if keep_hour else usable.drop("file_date", "file_hour")
 
 
-def rejected_prices(spark: SparkSession, paths: str | Sequence[str], tz: str = DEFAULT_TZ) -> DataFrame:
-    """(file, line, reason) of the lines that ``read_price_tsv`` cannot use."""
-    typed = type_prices(price_rows(spark, paths), None, None, tz)
+def rejected_prices(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    bus_map: Mapping[str, str] | None = None,
+    barra: str | None = None,
+    tz: str = DEFAULT_TZ,
+) -> DataFrame:
+    """(file, line, reason) of the lines that ``read_price_tsv`` cannot use, given the same arguments."""
+    typed = type_prices(price_rows(spark, paths), bus_map, barra, tz)
     return typed.where(F.col("reason").isNotNull()).select("file", "line", "reason")
 
 
@@ -201,30 +222,43 @@ def category_map(spark: SparkSession, entries: Sequence[tuple[str, str | None, s
     return spark.createDataFrame(list(entries), "kind string, subkind string, category string")
 
 
-def read_generation_tsv(
-    spark: SparkSession,
-    paths: str | Sequence[str],
-    mapping: DataFrame | None = None,
-    tz: str = DEFAULT_TZ,
-    dst_duplicates: str = "sum",
-) -> DataFrame:
-    """Hourly MW per technology from plant-day rows with 24 hour columns.
+def _without_tokens(cells: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return cells.withColumns({c: F.when(~F.col(c).isin(*MISSING_TOKENS), F.col(c)) for c in cols})
 
-    In spring two file hours fall on one instant; ``sum`` adds them, ``mean`` averages the two
-    file hours of each technology.
+
+def generation_lines(
+    spark: SparkSession, paths: str | Sequence[str], mapping: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Plant-day lines and the files they come from.
+
+    Lines: file, line, reason, outside (of no mapped technology), date, tech and the 24 hours as text.
+    Files: as ``survey`` gives them. Columns are found by each file's own header.
     """
     prepare(spark)
-    raw = spark.read.options(sep="\t", header="true", encoding="UTF-8", inferSchema="false").csv(
-        paths if isinstance(paths, str) else list(paths)
+    files, readable = survey(spark, paths, GENERATION_LAYOUT)
+    wanted = GENERATION_LAYOUT.required
+    cells = _without_tokens(named_cells(spark, readable, files, GENERATION_LAYOUT, wanted), wanted)
+    plants = cells.withColumns({c: tidy(F.col(c)) for c in GENERATION_REQUIRED})
+    mapping = mapping if mapping is not None else category_map(spark)
+    known = map_category(plants, mapping, "Tipo", "Subtipo", "tech", keep_others=True)
+    date = parse_date_strict(F.col("Fecha"), ISO_DATE)
+    reason = F.when(F.col("_cells") > F.col("_names"), "too many cells").when(
+        F.col("tech").isNotNull() & date.isNull(), "no usable date"
     )
-    raw = require_columns(normalize_header(raw), [*GENERATION_REQUIRED, *HOUR_COLUMNS])
-    raw = null_tokens(raw.select(*GENERATION_REQUIRED, *HOUR_COLUMNS))
-    plants = raw.withColumns({c: tidy(F.col(c)) for c in GENERATION_REQUIRED})
-    known = map_category(plants, mapping if mapping is not None else category_map(spark), "Tipo", "Subtipo", "tech")
-    long = unpivot_hours(known, ["Fecha", "tech"], HOUR_COLUMNS)
+    lines = known.select(
+        F.col("_file").alias("file"), F.col("_line").alias("line"), reason.alias("reason"),
+        F.col("tech").isNull().alias("outside"), date.alias("date"), "tech", *HOUR_COLUMNS,
+    )
+    return lines, files
+
+
+def hourly_generation(lines: DataFrame, tz: str = DEFAULT_TZ, dst_duplicates: str = "sum") -> DataFrame:
+    """Usable plant-day lines -> hourly MW per technology and in total."""
+    usable = lines.where(F.col("reason").isNull() & ~F.col("outside"))
+    long = unpivot_hours(usable, ["date", "tech"], HOUR_COLUMNS)
     hour = regex_hour(F.col("hora_col"))
     hourly = long.select(
-        local_to_utc(hour24_to_ts(parse_date_strict(F.col("Fecha"), ISO_DATE), hour), tz).alias("datetime"),
+        local_to_utc(hour24_to_ts(F.col("date"), hour), tz).alias("datetime"),
         hour.alias("_hour"),
         "tech",
         parse_decimal_comma(F.col("mw")).alias("mw"),
@@ -241,6 +275,51 @@ def read_generation_tsv(
     return wide.withColumn("gen_total_mw", row_sum([F.col(c) for c in TECH_COLUMNS]))
 
 
+def read_generation_tsv(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    mapping: DataFrame | None = None,
+    tz: str = DEFAULT_TZ,
+    dst_duplicates: str = "sum",
+) -> DataFrame:
+    """Hourly MW per technology from plant-day rows with 24 hour columns.
+
+    In spring two file hours fall on one instant; ``sum`` adds them, ``mean`` averages the two
+    file hours of each technology. A file without the required columns is a ValueError.
+    """
+    lines, files = generation_lines(spark, paths, mapping)
+    require_good(files)
+    return hourly_generation(lines, tz, dst_duplicates)
+
+
+def reservoir_lines(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    names: Sequence[str] = RESERVOIRS,
+    from_year: int = RESERVOIR_FROM_YEAR,
+) -> tuple[DataFrame, DataFrame]:
+    """Daily levels and the files they come from; lines of other reservoirs and earlier years are ``outside``."""
+    prepare(spark)
+    files, readable = survey(spark, paths, RESERVOIR_LAYOUT)
+    wanted = RESERVOIR_LAYOUT.required
+    cells = _without_tokens(named_cells(spark, readable, files, RESERVOIR_LAYOUT, wanted), wanted)
+    central, date = tidy(F.col("central")), parse_date_strict(F.col("fecha"), DMY_DATE)
+    among = F.coalesce(central.isin(*names), F.lit(False))
+    reason = F.when(F.col("_cells") > F.col("_names"), "too many cells").when(among & date.isNull(), "no usable date")
+    early = F.coalesce(date < F.lit(f"{from_year}-01-01").cast("date"), F.lit(False))
+    lines = cells.select(
+        F.col("_file").alias("file"), F.col("_line").alias("line"), reason.alias("reason"), (~among | early).alias("outside"),
+        date.alias("fecha"), central.alias("central"), parse_decimal_comma(F.col("cota_msnm")).alias("cota_msnm"),
+    )
+    return lines, files
+
+
+def monthly_levels(lines: DataFrame) -> DataFrame:
+    """Usable daily levels -> (date, avg_cota_msnm, n_embalses) per month."""
+    usable = lines.where(F.col("reason").isNull() & ~F.col("outside"))
+    return agg_month_mean_distinct(usable, "fecha", "cota_msnm", "central", "avg_cota_msnm", "n_embalses")
+
+
 def read_reservoir_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -248,19 +327,45 @@ def read_reservoir_csv(
     from_year: int = RESERVOIR_FROM_YEAR,
 ) -> DataFrame:
     """Monthly (date, avg_cota_msnm, n_embalses) from daily reservoir levels."""
+    lines, files = reservoir_lines(spark, paths, names, from_year)
+    require_good(files)
+    return monthly_levels(lines)
+
+
+PAYLOAD_FIELDS = ("time", "temperature_2m_max", "precipitation_sum")
+
+
+def _payloads(spark: SparkSession, paths: str | Sequence[str], region: str) -> DataFrame:
+    """(file, region, the payload's arrays, error) of every document."""
     prepare(spark)
-    raw = spark.read.options(sep=";", header="true", encoding="ISO-8859-1", inferSchema="false").csv(
-        paths if isinstance(paths, str) else list(paths)
-    )
-    raw = require_columns(normalize_header(raw, date_name="fecha"), ["fecha", "central", "cota_msnm"])
-    kept = filter_in_list(null_tokens(raw), "central", names)
-    typed = kept.select(
-        parse_date_strict(F.col("fecha"), DMY_DATE).alias("fecha"),
-        "central",
-        parse_decimal_comma(F.col("cota_msnm")).alias("cota_msnm"),
-    )
-    recent = filter_year_from(typed, "fecha", from_year)
-    return agg_month_mean_distinct(recent, "fecha", "cota_msnm", "central", "avg_cota_msnm", "n_embalses")
+    docs = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
+    file = F.col("_metadata.file_path")
+    where = F.regexp_extract(F.try_url_decode(file), region, 1) if "(" in region else F.lit(region)
+    parsed = docs.select(file.alias("file"), where.alias("region"), F.from_json("value", PAYLOAD).alias("payload"))
+    parsed = parsed.select("file", "region", "payload.daily.*")
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"daily.{c}")) for c in PAYLOAD_FIELDS]))
+    error = F.concat(F.lit("weather payload lacks "), F.array_join(missing, ", "))
+    return parsed.withColumn("error", F.when(F.size(missing) > 0, error))
+
+
+def _days(payloads: DataFrame) -> DataFrame:
+    rows = explode_arrays(payloads, PAYLOAD_FIELDS, keep=["file", "region"])
+    date = parse_date_strict(F.col("time"), ISO_DATE)
+    return rows.select(
+        "file", F.coalesce("time", F.lit("")).alias("line"), F.when(date.isNull(), "no usable date").alias("reason"),
+        F.lit(False).alias("outside"), date.alias("date"),
+        parse_decimal_comma(F.col("temperature_2m_max")).alias("temp_max_c"),
+        parse_decimal_comma(F.col("precipitation_sum")).alias("precip_mm"),
+        "region",
+    )
+
+
+def weather_days(
+    spark: SparkSession, paths: str | Sequence[str], region: str = DEFAULT_REGION
+) -> tuple[DataFrame, DataFrame]:
+    """Days of stored payload files, and the files; a payload without the expected fields is its file's error."""
+    payloads = _payloads(spark, paths, region)
+    return _days(payloads.where(F.col("error").isNull())), payloads.select(F.col("file").alias("_file"), "error")
 
 
 def read_weather_json(
@@ -271,25 +376,7 @@ def read_weather_json(
     A payload without the expected fields fails the job. ``region`` may be a pattern with one
     group, which then takes each file's region from its path.
     """
-    prepare(spark)
-    docs = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    if "(" in region:
-        where = F.regexp_extract(F.try_url_decode(F.col("_metadata.file_path")), region, 1)
-        docs = docs.select("value", where.alias("region"))
-    else:
-        docs = docs.select("value", F.lit(region).alias("region"))
-    daily = F.from_json("value", PAYLOAD).alias("payload")
-    parsed = docs.select("region", daily).select("region", "payload.daily.*")
-    fields = ("time", "temperature_2m_max", "precipitation_sum")
-    complete = F.lit(True)
-    for c in fields:
-        complete &= F.col(c).isNotNull()
-    missing = F.raise_error(F.lit("weather payload lacks daily." + ", daily.".join(fields)))
-    checked = parsed.withColumn("time", F.when(complete, F.col("time")).otherwise(missing.cast("array<string>")))
-    rows = explode_arrays(checked, fields, keep=["region"])
-    return rows.select(
-        parse_date_strict(F.col("time"), ISO_DATE).alias("date"),
-        parse_decimal_comma(F.col("temperature_2m_max")).alias("temp_max_c"),
-        parse_decimal_comma(F.col("precipitation_sum")).alias("precip_mm"),
-        "region",
-    )
+    payloads = _payloads(spark, paths, region)
+    fails = F.raise_error(F.col("error")).cast("array<string>")
+    payloads = payloads.withColumn("time", F.when(F.col("error").isNull(), F.col("time")).otherwise(fails))
+    return _days(payloads).select("date", "temp_max_c", "precip_mm", "region")
