@@ -4,12 +4,10 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tests.frames import to_pandas, to_spark
 from tidemark.operators import aggregates, frames, metrics, quality, selection
-from tidemark.functions import ordered_bits
-from tidemark.operators.quantiles import BELOW, quantile_exact
+from tidemark.operators.quantiles import BELOW, quantile_exact, with_ordered_bits
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
 
@@ -47,10 +45,10 @@ def test_bits_order_like_doubles(spark):
     powers = [2.0**e for e in range(-1074, 1024)]
     v = np.unique(np.concatenate([bits, edges, powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf)]))
     v = np.concatenate([-v[::-1], v])
-    got = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double").select("i", ordered_bits(F.col("v")).alias("u")).orderBy("i").collect()
+    got = with_ordered_bits(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double"), "v", "u").orderBy("i").collect()
     want = np.where(v > 0, 1, -1) * np.abs(v).view(np.int64)
     assert [r["u"] for r in got] == want.tolist()
-    assert spark.createDataFrame([(math.nan,)], "v double").select(ordered_bits(F.col("v"))).first()[0] > want.max()
+    assert with_ordered_bits(spark.createDataFrame([(math.nan,)], "v double"), "v", "u").first()["u"] > want.max()
 
 
 def test_quantiles_of_odd_values_and_keys(spark):

@@ -15,7 +15,6 @@ from tidemark.functions.numeric import (
     is_finite,
     nan_to_null,
     null_if_negative,
-    ordered_bits,
     round_to,
     row_sum,
     signed_error,
@@ -33,7 +32,6 @@ __all__ = [
     "nan_to_null",
     "normalize_utc",
     "null_if_negative",
-    "ordered_bits",
     "parse_date_strict",
     "parse_decimal_comma",
     "regex_hour",

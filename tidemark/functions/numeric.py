@@ -55,22 +55,3 @@ def signed_error(actual: Column, predicted: Column) -> Column:
 
 def abs_error(actual: Column, predicted: Column) -> Column:
     return F.abs(predicted - actual)
-
-
-def ordered_bits(c: Column) -> Column:
-    """A double as the 64-bit whole number that orders like it: sign, exponent and fraction, NaN on top.
-
-    The exponent from the logarithm may be one off; comparing the fraction with 1 and 2 mends that.
-    """
-    size = F.abs(c)
-    two = F.lit(2.0)
-    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
-    scaled = size / F.pow(two, guess)
-    exponent = F.when(scaled >= 2, guess + 1).when((scaled < 1) & (guess > -1022), guess - 1).otherwise(guess)
-    fraction = size / F.pow(two, exponent)
-    # Below the smallest normal number the exponent stays, and the fraction has no leading one.
-    normal = (exponent + 1023).cast("long") * F.lit(1 << 52) + ((fraction - 1) * F.lit(2.0**52)).cast("long")
-    small = (fraction * F.lit(2.0**52)).cast("long")
-    bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(fraction >= 1, normal).otherwise(small)
-    bits = F.when(size == 0, F.lit(0).cast("long")).otherwise(bits)
-    return F.when(F.isnan(c), F.lit((2047 << 52) + 1)).when(c < 0, -bits).otherwise(bits)

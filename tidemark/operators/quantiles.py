@@ -18,13 +18,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import ordered_bits
 from tidemark.operators.keyed import keyed_join, require_keys
 
 #: Bits below the first and below the second digit. Histograms have at most 2^20, 2^20 and 2^24 rows.
 BELOW = (44, 24)
 
 
+def with_ordered_bits(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add a double column as the 64-bit whole number that orders like it: sign, exponent and fraction, NaN on top.
+
+    The exponent from the logarithm may be one off; comparing the fraction with 1 and 2 mends that. Each step is
+    a column of its own, since the next one uses it more than once.
+    """
+    size, guess, scaled, exponent, fraction = (F.col(f"_{x}") for x in ("size", "guess", "scaled", "exponent", "fraction"))
+    steps = {
+        "_size": F.abs(F.col(value)),
+        # log2 of zero and infinity end at the bounds.
+        "_guess": F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.coalesce(F.floor(F.log2(size)).cast("double"), F.lit(-1022.0)))),
+        "_scaled": size / F.pow(F.lit(2.0), guess),
+        "_exponent": F.when(scaled >= 2, guess + 1).when((scaled < 1) & (guess > -1022), guess - 1).otherwise(guess),
+        "_fraction": size / F.pow(F.lit(2.0), exponent),
+    }
+    for column, expression in steps.items():
+        df = df.withColumn(column, expression)
+    # Below the smallest normal number the exponent stays, and the fraction has no leading one.
+    normal = (exponent + 1023).cast("long") * F.lit(1 << 52) + ((fraction - 1) * F.lit(2.0**52)).cast("long")
+    bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(fraction >= 1, normal).otherwise((fraction * F.lit(2.0**52)).cast("long"))
+    df = df.withColumn("_magnitude", F.when(F.isnan(value), F.lit((2047 << 52) + 1)).otherwise(bits))
+    negative = (F.col(value) < 0) & ~F.isnan(value)
+    return df.withColumn(name, F.when(negative, -F.col("_magnitude")).otherwise(F.col("_magnitude"))).drop(*steps, "_magnitude")
+
+
 def _narrowed(counts: DataFrame, group: list[str], digit: str, carried: Sequence[str]) -> DataFrame:
     """Rows of ``counts`` (group, digit, _c, _before, _ranks, carried) that hold a wanted rank.
 
@@ -51,8 +75,8 @@ def quantile_exact(
     # One spelling per value: zero has no sign, NaN one bit pattern.
     number = F.when(F.isnan(number), F.lit(float("nan"))).otherwise(number + F.lit(0.0))
     values = df.where(F.col(value).isNotNull()).select(*keys, number.alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    bits = ordered_bits(F.col("_v"))
-    digits = values.withColumns({"_d1": F.shiftright(bits, below[0]), "_d2": F.shiftright(bits, below[1])})
+    digits = with_ordered_bits(values, "_v", "_u")
+    digits = digits.withColumns({"_d1": F.shiftright("_u", below[0]), "_d2": F.shiftright("_u", below[1])}).drop("_u")
 
     top = digits.groupBy(*keys, "_d1").agg(F.sum("_c").alias("_c"))
     top = top.withColumn("_n", F.sum("_c").over(W.partitionBy(*keys)))

@@ -4,65 +4,103 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import null_if_negative, row_sum, zero_at_night
 from tidemark.functions.clock import DEFAULT_TZ
 from tidemark.operators.frames import null_if_outlier, null_negatives, temporal_features
 from tidemark.operators.gaps import FILL_LIMIT, interpolate_limited
 from tidemark.operators.keyed import keyed_join, require_keys, settled
-from tidemark.operators.quantiles import median_exact
+from tidemark.operators.quantiles import median_exact, quantile_exact
 from tidemark.operators.windows import imputer_lags
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.plans.cells import boost_cells
 from tidemark.sources.schemas import TECH_COLUMNS
 
 # Learner settings and inputs.
 IMPUTER_INPUTS = ("hour_of_day", "day_of_week", "month", "lag_24h", "lag_168h")
+IMPUTER_LAGS = IMPUTER_INPUTS[3:]
 IMPUTER_TREES = 200
 IMPUTER_RATE = 0.05
 IMPUTER_DEPTH = 5
 MIN_TRAIN_ROWS = 100
-SEED = 42
+MIN_LEAF_ROWS = 20
+LAG_BINS = 32
 
+#: Bins of the inputs, in the order of IMPUTER_INPUTS.
+CELL = tuple(f"_bin{i}" for i in range(len(IMPUTER_INPUTS)))
 
-def fit_imputer(inputs: DataFrame, value: str, trees: int = IMPUTER_TREES) -> PipelineModel | None:
-    """Boosted trees over complete rows of all series, or None if there are too few."""
-    usable = inputs.dropna(subset=[value, *IMPUTER_INPUTS])
-    if usable.limit(MIN_TRAIN_ROWS).count() < MIN_TRAIN_ROWS:
-        return None
-    ensure_checkpoint_dir(inputs.sparkSession)
-    learner = GBTRegressor(
-        featuresCol="_inputs", labelCol=value, predictionCol="_model", maxIter=trees, stepSize=IMPUTER_RATE,
-        maxDepth=IMPUTER_DEPTH, seed=SEED,
-    )
-    gather = VectorAssembler(inputCols=list(IMPUTER_INPUTS), outputCol="_inputs", handleInvalid="keep")
-    return Pipeline(stages=[gather, learner]).fit(usable.select(value, *IMPUTER_INPUTS))
+
+def binned_inputs(inputs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The rows with their bins; NULL bins where an input is missing.
+
+    Lags are cut at the exact quantiles of the key's complete rows (a value on an edge belongs above it).
+    """
+    ready = F.lit(True)
+    for c in IMPUTER_INPUTS:
+        ready &= F.col(c).isNotNull()
+    long = inputs.where(ready & F.col(value).isNotNull()).unpivot(list(keys), list(IMPUTER_LAGS), "_lag", "_x")
+    names = [f"_e{i}" for i in range(1, LAG_BINS)]
+    found = quantile_exact(long, [*keys, "_lag"], "_x", [i / LAG_BINS for i in range(1, LAG_BINS)], names)
+    edges = found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_lag") == c, F.array(*names))).alias(f"_edges_{c}") for c in IMPUTER_LAGS]
+    )
+    joined = keyed_join(inputs, settled(edges, "edges"), keys, "left")
+
+    def edges_below(c: str):
+        return F.size(F.filter(f"_edges_{c}", lambda e: e <= F.col(c)))
+
+    below = {c: edges_below(c) for c in IMPUTER_LAGS}
+    bins = [below.get(c, F.col(c)) for c in IMPUTER_INPUTS]
+    known = ready & F.col(f"_edges_{IMPUTER_LAGS[0]}").isNotNull()
+    return joined.withColumns({n: F.when(known, b.cast("int")) for n, b in zip(CELL, bins, strict=True)}).drop(*edges.columns[len(keys) :])
+
+
+def cell_estimates(binned: DataFrame, keys: Sequence[str], value: str, trees: int, depth: int) -> DataFrame:
+    """(keys, bins, _model) of the cells that have something to fill, from a model per key.
+
+    Keys with fewer than MIN_TRAIN_ROWS complete rows have no model.
+    """
+    counted = binned.where(F.col(CELL[0]).isNotNull()).groupBy(*keys, *CELL).agg(
+        F.count(value).alias("_n"), F.sum(F.col(value).cast("double")).alias("_sum"), F.count_if(F.col(value).isNull()).alias("_holes")
+    )
+    schema = T.StructType([*[f for f in counted.schema if f.name in (*keys, *CELL)], T.StructField("_model", T.DoubleType())])
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(list(CELL), ignore_index=True)
+        out = cells[[f.name for f in schema if f.name != "_model"]]
+        holes, n = cells["_holes"].to_numpy() > 0, cells["_n"].to_numpy()
+        if not holes.any() or n.sum() < MIN_TRAIN_ROWS:
+            return out[:0].assign(_model=np.empty(0))
+        x, total = cells[list(CELL)].to_numpy(int), cells["_sum"].fillna(0).to_numpy(float)
+        return out.assign(_model=boost_cells(x, n, total, trees, IMPUTER_RATE, depth, MIN_LEAF_ROWS))[holes]
+
+    return counted.groupBy(*keys).applyInPandas(run, schema)
 
 
 def impute_gbt(
-    df: DataFrame, keys: Sequence[str], ts: str, value: str, trees: int = IMPUTER_TREES, method: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    value: str,
+    trees: int = IMPUTER_TREES,
+    method: str | None = None,
+    depth: int = IMPUTER_DEPTH,
 ) -> DataFrame:
     """Fill the remaining NULLs with a boosted-tree estimate, else with the key's median.
 
-    One model is fitted over all keys; the lags carry each key's level. Rows whose lags are
-    missing, and everything if there are too few rows to learn from, take the median.
-    ``method`` names a column that receives ``observed``, ``model`` or ``median``.
+    Every key has a model of its own. Rows whose lags are missing, and all rows of a key with too few
+    complete ones to learn from, take the median. ``method`` names a column that receives ``observed``,
+    ``model`` or ``median``.
     """
     keys = require_keys(keys)
     inputs = settled(temporal_features(imputer_lags(df, keys, ts, value), ts))
-    model = fit_imputer(inputs, value, trees)
-    if model is None:
-        scored = inputs.withColumn("_model", F.lit(None).cast("double"))
-    else:
-        # Only the rows to fill that have all inputs take the estimate.
-        ready = F.col(value).isNull()
-        for c in IMPUTER_INPUTS:
-            ready &= F.col(c).isNotNull()
-        scored = model.transform(inputs).withColumn("_model", F.when(ready, F.col("_model"))).drop("_inputs")
+    binned = binned_inputs(inputs, keys, value)
+    estimates = settled(cell_estimates(binned, keys, value, trees, depth), "estimates")
+    scored = keyed_join(binned, estimates, [*keys, *CELL], "left")
     middle = settled(median_exact(inputs, keys, value, "_median"))
     filled = keyed_join(scored, middle, keys, "left")
     out = filled.withColumn("_filled", F.coalesce(F.col(value), F.col("_model"), F.col("_median")))
@@ -80,6 +118,7 @@ def clean_prices(
     trees: int = IMPUTER_TREES,
     approx: bool = False,
     method: str | None = None,
+    depth: int = IMPUTER_DEPTH,
 ) -> DataFrame:
     """Negative and extreme values to NULL, then short gaps by interpolation, the rest by model.
 
@@ -90,7 +129,7 @@ def clean_prices(
     marked = null_if_outlier(df.withColumn(value, null_if_negative(F.col(value))), keys, value, approx=approx)
     marked = settled(marked.withColumn("is_imputed", F.col(value).isNull()))
     short = interpolate_limited(marked, keys, ts, [value], FILL_LIMIT)
-    full = impute_gbt(short, keys, ts, value, trees, method="_how")
+    full = impute_gbt(short, keys, ts, value, trees, method="_how", depth=depth)
     if method:
         how = F.when(F.col("is_imputed") & (F.col("_how") == "observed"), "interpolated").otherwise(F.col("_how"))
         full = full.withColumn(method, how)

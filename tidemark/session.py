@@ -19,10 +19,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or the one given with ``setCheckpointDir``.
 
-    If neither is set, the warehouse, which is shared like any table in it.
+    If neither is set, a session within one process uses its warehouse; a cluster has to name a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 #: This process's own folder below the shared one; removed when the process ends.
