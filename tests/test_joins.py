@@ -80,8 +80,8 @@ def test_holidays_follow_the_rules_and_unknown_years_are_errors(spark):
       2019-10-12 2019-10-31 2019-11-01 2019-12-08 2019-12-25""".split()
     assert {d for d in days if d.startswith("2019")} == set(known)
     expected = {"2021-06-21", "2022-06-21", "2023-06-21", "2024-06-20", "2025-06-20", "2021-09-17", "2023-10-27", "2023-01-02", "2020-10-12",
-                "2024-03-29", "2025-04-18", "2023-10-09", "2021-06-28", "2023-06-26", "2024-09-20", "2018-12-25"}
-    assert expected - days == {"2018-12-25"} and "2020-06-21" not in days and "2023-10-31" not in days
+                "2024-03-29", "2025-04-18", "2023-10-09", "2021-06-28", "2023-06-26", "2024-09-20"}
+    assert expected <= days and "2018-12-25" not in days and "2020-06-21" not in days and "2023-10-31" not in days
     df = spark.createDataFrame([(date(2019, 9, 18),), (date(2019, 9, 17),), (None,)], "d date")
     got = {r["d"]: r["is_holiday"] for r in joins.lookup_holiday(df, "d", national_holidays(spark, 2019, 2019)).collect()}
     assert got == {date(2019, 9, 18): True, date(2019, 9, 17): False, None: False}

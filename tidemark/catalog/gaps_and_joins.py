@@ -234,12 +234,12 @@ CALENDAR_SQL = """WITH y AS (SELECT unnest(range(2005, 2031)) AS y),
           2451716.56767::DOUBLE + k * 365241.62603::DOUBLE + k * k * 0.00325::DOUBLE - 2451544.5::DOUBLE - 4 / 24::DOUBLE) AS INTEGER) AS solstice FROM r),
   d AS (
     SELECT make_date(y, m, n) AS d FROM y, (VALUES (1, 1), (5, 1), (5, 21), (7, 16), (8, 15), (9, 18), (9, 19), (11, 1), (12, 8), (12, 25)) f(m, n)
-    UNION SELECT easter - 2 FROM s UNION SELECT easter - 1 FROM s UNION SELECT solstice FROM s WHERE y >= 2021
+    UNION SELECT easter - 2 FROM s UNION SELECT easter - 1 FROM s UNION SELECT CASE WHEN y = 2021 THEN DATE '2021-06-21' ELSE solstice END FROM s WHERE y >= 2021
     UNION SELECT CASE WHEN isodow(x) BETWEEN 2 AND 4 THEN x - CAST(isodow(x) - 1 AS INTEGER) WHEN isodow(x) = 5 THEN x + 3 ELSE x END
       FROM (SELECT make_date(y, 6, 29) AS x FROM y UNION ALL SELECT make_date(y, 10, 12) FROM y)
     UNION SELECT CASE isodow(x) WHEN 2 THEN x - 4 WHEN 3 THEN x + 2 ELSE x END FROM (SELECT make_date(y, 10, 31) AS x FROM y WHERE y >= 2008)
     UNION SELECT x - 1 FROM (SELECT y, make_date(y, 9, 18) AS x FROM y) WHERE isodow(x) = 2 AND y >= 2007 OR isodow(x) = 6 AND y >= 2017
-    UNION SELECT x + 2 FROM (SELECT y, make_date(y, 9, 18) AS x FROM y) WHERE isodow(x) = 4 AND y >= 2007
+    UNION SELECT x + 2 FROM (SELECT y, make_date(y, 9, 18) AS x FROM y) WHERE isodow(x) = 3 AND y >= 2007
     UNION SELECT x + 1 FROM (SELECT y, make_date(y, 1, 1) AS x FROM y) WHERE isodow(x) = 7 AND y >= 2017)
 SELECT o_orderkey, CAST(o_orderdate + INTERVAL 20 YEAR AS DATE) IN (SELECT d FROM d) AS is_holiday FROM orders"""
 

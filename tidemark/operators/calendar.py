@@ -60,12 +60,13 @@ def national_holidays(spark: SparkSession, first_year: int, last_year: int) -> D
     days += [F.date_sub(easter(year), n) for n in EASTER_DAYS]
     days += [moved_to_monday(day(m, d)) for m, d in MONDAY_DAYS]
     days += [
-        F.when(year >= SOLSTICE_SINCE, winter_solstice(year)),
+        # By law on the 21st in its first year.
+        F.when(year == SOLSTICE_SINCE, day(6, 21)).when(year > SOLSTICE_SINCE, winter_solstice(year)),
         F.when(year >= REFORMATION_SINCE, F.when(reformation == 1, day(10, 27)).when(reformation == 2, day(11, 2)).otherwise(day(10, 31))),
         # The 17th is a bridge if it is a Monday, or a Friday; the 20th if it is a Friday.
         F.when((year >= BRIDGES_SINCE) & (feast == 1), day(9, 17)),
         F.when((year >= LONG_BRIDGES_SINCE) & (feast == 5), day(9, 17)),
-        F.when((year >= BRIDGES_SINCE) & (feast == 3), day(9, 20)),
+        F.when((year >= BRIDGES_SINCE) & (feast == 2), day(9, 20)),
         F.when((year >= LONG_BRIDGES_SINCE) & (new_year == 6), day(1, 2)),
     ]
     years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))

@@ -138,7 +138,9 @@ def fit_gbt(
     cut, gather = feature_bins(rows, features)
 
     def prepared(df: DataFrame, name: str) -> DataFrame:
-        binned = gather.transform(cut.transform(df)).select("_features", "_y", "_row", F.lit(0.0).alias("_f"))
+        # Bins are ordered numbers; as the categories that Bucketizer marks them to be they would be split into sets.
+        plain = cut.transform(df).withColumns({c: F.col(c) + F.lit(0.0) for c in cut.getOutputCols()})
+        binned = gather.transform(plain).select("_features", "_y", "_row", F.lit(0.0).alias("_f"))
         return settled(binned, name)
 
     learned = prepared(rows, "train-bins")
