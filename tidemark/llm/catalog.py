@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ from tidemark.llm.turn_repair import audits, damaged, repaired_digest, repaired_
 from tidemark.operators.keyed import keyed_join, settled
 from tidemark.session import scratch_path
 
-TOKENIZERS = "/opt/tokenizers"
+#: Folder of the vocabulary files.
+TOKENIZERS = str(Path(public_tokenizers.path("byte_bpe_50k.json")).parent)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
