@@ -157,6 +157,14 @@ def test_every_series_has_a_model_and_a_floor_of_its_own(spark):
     assert set(got[(got.barra == "short") & got.how.ne("observed")]["how"]) == {"median"}
 
 
+def test_a_series_without_holes_is_left_as_it_is(spark):
+    rows = [(START + timedelta(hours=i), "a", float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, PRICE)
+    got = cleaning.impute_gbt(df, ["barra"], "datetime", "cmg_usd_mwh", method="how")
+    assert got.columns == [*df.columns, "how"] and sorted(tuple(r) for r in got.collect()) == [(*r, "observed") for r in rows]
+    assert cleaning.impute_gbt(df.limit(0), ["barra"], "datetime", "cmg_usd_mwh").count() == 0
+
+
 def boosting_rows(spark, n=500):
     rng = np.random.default_rng(3)
     x = rng.uniform(0, 1, (n, 4))

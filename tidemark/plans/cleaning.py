@@ -98,6 +98,8 @@ def impute_gbt(
     """
     keys = require_keys(keys)
     inputs = settled(temporal_features(imputer_lags(df, keys, ts, value), ts))
+    if inputs.where(F.col(value).isNull()).isEmpty():  # nothing to fill, nothing to fit
+        return inputs.select(*df.columns, *([F.lit("observed").alias(method)] if method else []))
     binned = binned_inputs(inputs, keys, value)
     estimates = settled(cell_estimates(binned, keys, value, trees, depth), "estimates")
     scored = keyed_join(binned, estimates, [*keys, *CELL], "left")
