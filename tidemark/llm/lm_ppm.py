@@ -49,9 +49,9 @@ class Settings:
     """Context length in bytes (at most 6) and the bounds of the two tables held by every task."""
 
     order: int = 5
-    hot_pairs: int = 1 << 21
-    hot_words: int = 1 << 20
-    slice_bytes: int = 8 << 20
+    hot_pairs: int = 1 << 20
+    hot_words: int = 1 << 19
+    slice_bytes: int = 1 << 20
 
 
 @dataclass(frozen=True)
