@@ -58,7 +58,7 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[], Columns], text: str
     """``df`` with the columns of ``ddl``, computed from its text column.
 
     ``make`` runs once per task, so that a model or table is unpacked once. Columns of ``df``
-    that have a new column's name are replaced.
+    that have a new column's name are replaced. A text column that is kept crosses to Python once.
     """
     new = T.StructType.fromDDL(ddl)
     names = {f.name.lower() for f in new}
@@ -66,17 +66,21 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[], Columns], text: str
     source = free_name(df, "text_")
     schema = T.StructType([f for f in df.schema if f.name in kept] + list(new))
     kinds = [ARROW[f.dataType] for f in new]
+    own_text = text in kept and isinstance(df.schema[text].dataType, T.StringType)
+    text_at = kept.index(text) if own_text else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            texts = as_bytes(batch.column(batch.num_columns - 1))
+            texts = as_bytes(batch.column(text_at))
             for a, b in slices(texts, limit):
                 made = [pa.array(v, k) for v, k in zip(compute(texts[a:b]), kinds, strict=True)]
                 own = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays(own + made, names=schema.names)
 
-    columns = [F.col(f"`{c}`") for c in kept] + [F.col(f"`{text}`").cast("string").alias(source)]
+    columns = [F.col(f"`{c}`") for c in kept]
+    if not own_text:
+        columns.append(F.col(f"`{text}`").cast("string").alias(source))
     return df.select(*columns).mapInArrow(run, schema)
 
 

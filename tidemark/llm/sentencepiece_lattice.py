@@ -293,7 +293,7 @@ def encode_texts(
     columns: str = "ids array<int>",
     emit: Emit = lambda text, ids, decoder: (ids,),
     keep: tuple[str, ...] = ("doc_id",),
-    hot_units: int = 1 << 20,
+    hot_units: int = 1 << 19,
     fold_chars: int = 64,
 ) -> DataFrame:
     """Encode all texts; per row the columns ``keep`` and what ``emit`` makes of its text and ids."""
