@@ -21,9 +21,15 @@ from tidemark.operators.keyed import settled
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """Rows set aside in one column, so that result columns cannot hide any of theirs."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], accept: str) -> DataFrame:
+    """Rows for which ``accept`` holds among the columns that ``judge`` adds.
+
+    The other columns have numbers for names meanwhile, so that result columns cannot hide any of
+    theirs and the text is handed over only once.
+    """
+    names = {c: "text" if c == "text" else f"column {i}" for i, c in enumerate(docs.columns)}
+    judged = judge(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])).where(accept)
+    return judged.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
 
 
 def _without(docs: DataFrame, dropped: DataFrame, how: str = "left_anti") -> DataFrame:
@@ -35,11 +41,11 @@ def _without(docs: DataFrame, dropped: DataFrame, how: str = "left_anti") -> Dat
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grammar = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity(_whole(docs), grammar).where("predicted = 0").select("row.*")
+    return _judged(docs, lambda rows: toxicity(rows, grammar), "predicted = 0")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(_whole(docs)).where("kept").select("row.*")
+    return _judged(docs, quality_rules, "kept")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
