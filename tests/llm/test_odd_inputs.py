@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.samples import PROSE, labels, no_documents, no_labels, odd_documents
+from tidemark.llm.arrow import BATCH_BYTES, SLICE_BYTES, add_columns, bounded_batches
 from tidemark.llm.catalog import TOKENIZERS
 from tidemark.llm.chat_format import chat_digest, format_chats
 from tidemark.llm.decontaminate import contamination
@@ -155,3 +156,26 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept.where("doc_id IN (1, 2, 3, 4, 9, 10, 11)").collect()) == [1, 2, 3, 4, 9]
     clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
     assert clean.count() == N - 2
+
+
+def test_kept_text_is_passed_once(spark):
+    rows = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, score string")
+    out = add_columns(rows, "score long", lambda: lambda texts: [[len(t) for t in texts]])
+    assert out.columns == ["doc_id", "text", "score"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a b", 3), (2, None, 0)]
+    binary = rows.withColumn("text", rows["text"].cast("binary"))
+    out = add_columns(binary, "size long", lambda: lambda texts: [[len(t) for t in texts]])
+    assert sorted((r["doc_id"], r["size"]) for r in out.collect()) == [(1, 3), (2, 0)]
+
+
+def test_own_bound_of_batches_is_left(spark):
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        bounded_batches(spark)
+        assert spark.conf.get(BATCH_BYTES) == f"{SLICE_BYTES}b"
+        spark.conf.set(BATCH_BYTES, "1m")
+        bounded_batches(spark)
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.set(BATCH_BYTES, before)

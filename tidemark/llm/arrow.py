@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once; longer texts are handled alone.
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 ARROW = {
     T.LongType(): pa.int64(),
@@ -46,6 +47,16 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand over batches of at most ``SLICE_BYTES``, unless the session has a bound of its own.
+
+    Spark's default lets a batch grow to 64 MB; it then lies in the executor's off-heap memory,
+    twice while it grows, and once more in the Python worker, for every task that runs there.
+    """
+    if spark.conf.get(BATCH_BYTES, "64m") == "64m":
+        spark.conf.set(BATCH_BYTES, f"{SLICE_BYTES}b")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column has it (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}
@@ -60,6 +71,7 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[], Columns], text: str
     ``make`` runs once per task, so that a model or table is unpacked once. Columns of ``df``
     that have a new column's name are replaced. A text column that is kept crosses to Python once.
     """
+    bounded_batches(df.sparkSession)
     new = T.StructType.fromDDL(ddl)
     names = {f.name.lower() for f in new}
     kept = [c for c in df.columns if c.lower() not in names]

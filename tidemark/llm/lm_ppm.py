@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.arrow import as_bytes, slices
+from tidemark.llm.arrow import as_bytes, bounded_batches, slices
 from tidemark.llm.hot_table import HashTable, hot_from, merge_counts
 from tidemark.operators.keyed import settled
 
@@ -191,6 +191,7 @@ def train_ppm(docs: DataFrame, train: Column, settings: Settings = Settings()) -
     At most ``hot_pairs`` + ``hot_words`` entries of 16 bytes pass the driver; both tables' other
     rows stay in the shared folder.
     """
+    bounded_batches(docs.sparkSession)
     features = settled(count_features(docs, train, settings), "lm-counts")
     words = features.where(F.col("kind") == WORD)
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.arrow import ARROW, as_bytes, slices
+from tidemark.llm.arrow import ARROW, as_bytes, bounded_batches, slices
 from tidemark.llm.hot_table import HashTable, hot_from, usable
 from tidemark.operators.keyed import settled
 
@@ -298,6 +298,7 @@ def encode_texts(
 ) -> DataFrame:
     """Encode all texts; per row the columns ``keep`` and what ``emit`` makes of its text and ids."""
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     for seed in range(8):
         units = settled(encode_units(corpus_units(docs, pieces, seed), pieces, fold_chars), "unit-ids")
         total, distinct = units.select(F.count("*"), F.countDistinct("hash")).first()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import add_columns, as_bytes
+from tidemark.llm.arrow import add_columns, as_bytes, bounded_batches
 from tidemark.llm.labelled import labelled_sample
 
 # Closed-class words in English, German, French and Spanish.
@@ -194,6 +194,7 @@ def fit_toxicity(
     What reaches the driver is bounded by ``settings``: candidate stems with two counts, the
     candidates of each sampled toxic text, and one short row of features per sampled text.
     """
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, modulus, remainder, settings.per_class)
     sizes = {r["label"]: r["count"] for r in sample.rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
