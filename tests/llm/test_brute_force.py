@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from tests.llm.samples import prose
 from tidemark.llm import catalog
 from tidemark.llm.block_codec import DamagedBlock, decode_block, encode_block
-from tidemark.llm.chat_format import exact_spans, parse_tagged, tagged, turn_spans
+from tidemark.llm.chat_format import PerTurn, exact_spans, parse_tagged, tagged, turn_spans
 from tidemark.llm.hot_table import HashTable
 from tidemark.llm.lm_ppm import Settings as LmSettings
 from tidemark.llm.lm_ppm import score_ppm, train_ppm
@@ -234,6 +234,23 @@ def test_templates():
     assert turn_spans(counting, turns)[2] == 1
 
 
+def recap(turns):
+    return ("recap\n" if turns and len(turns) % 10 == 0 else "") + "".join(f"{r}: {t}\n" for r, t in turns)
+
+
+def test_every_prefix_counts_at_any_length():
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(151)]
+    assert turn_spans(recap, turns) == exact_spans(recap, turns)
+    assert turn_spans(recap, turns)[2] == turn_spans(recap, turns[:60])[2] == 9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "", "a<|"]), st.text(alphabet="a?b!<|>\\/s\n", max_size=8)), max_size=8))
+def test_turns_rendered_once_have_the_spans_of_prefixes(turns):
+    for one in (tagged.one, lambda turn: turn[1], lambda turn: ""):
+        assert turn_spans(PerTurn(one), turns) == exact_spans(PerTurn(one), turns)
+
+
 def test_rules_of_repetition():
     from tidemark.llm.quality_rules import Rules, measure
 
