@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.samples import PROSE, labels, no_documents, no_labels, odd_documents
+from tidemark.llm import sentencepiece_lattice
 from tidemark.llm.arrow import BATCH_BYTES, SLICE_BYTES, add_columns, bounded_batches
 from tidemark.llm.catalog import TOKENIZERS
 from tidemark.llm.chat_format import chat_digest, format_chats
@@ -91,6 +92,28 @@ def test_sentencepiece(spark):
     assert encode_texts(no_documents(spark), pieces).count() == 0
 
 
+@pytest.mark.parametrize("how", ["by window", "by join"])
+def test_texts_get_rare_units_where_they_are_read(spark, monkeypatch, how):
+    """With nearly all units rare: no join over texts, several windows a task; a join if the folder lacks them."""
+    pieces = read_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    docs = odd_documents(spark).repartition(2).persist()
+    want = encode_texts(docs, pieces, keep=("text",)).toPandas()
+    monkeypatch.setattr(sentencepiece_lattice, "WINDOW_BYTES", 900)
+    if how == "by join":
+        monkeypatch.setattr(sentencepiece_lattice, "units_by_task", lambda *_: scratch_path(spark, "nothing"))
+    got = encode_texts(docs, pieces, keep=("text",), hot_units=4)
+    assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (how == "by join")
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(want, got.schema).collect()))
+    docs.unpersist()
+
+
+def test_lattice_substrings(spark):
+    """Lengths left out by the table of first characters are those of no piece."""
+    pieces = read_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    lengths = dict(pieces.lengths_by_head())
+    assert all(len(p) < 4 or len(p) in lengths[p[:4]] for p in pieces.text)
+
+
 def test_token_files(spark):
     folder = scratch_path(spark, "odd")
     shards = write_token_files(odd_documents(spark), folder, f"{TOKENIZERS}/byte_bpe_50k.json", shard_ids=3000, block_ids=1000)

@@ -2,15 +2,19 @@
 
 A text is written with a leading word mark and marks for spaces, and cut into units wherever no
 piece spans the cut, so the best segmentation of a text is that of its units in order. Every
-distinct unit of the corpus is encoded once: its substrings up to the longest piece are exploded and
-equi-joined with the piece table (a character without a piece gets an edge of its own, later
+distinct unit of the corpus is encoded once: its substrings, of the lengths that pieces with their first
+characters have, are exploded and equi-joined with the piece table (a character without a piece gets an edge of its own, later
 spelled in byte pieces), the edges are grouped by unit, and a higher-order ``aggregate`` folds them
 from left to right into the best path: the one of the largest total score, of the longer last piece
 among equals. That is the rule of unigram models; a model file of another kind is read as a table of
 pieces and scores, and gives the first of the library's n best if told that the model is a unigram model.
 
-Texts are then put together from their units' ids: the most frequent ``hot_units`` are in every
-task; texts with others get those by a join. Units of more than ``fold_chars`` characters, for
+Texts are then put together from their units' ids where they are read, without being shuffled. The
+most frequent ``hot_units`` are in every task. Of the others, a first reading lists which of them each
+task needs, per window of ``WINDOW_BYTES``; their ids are joined to the list and written to a folder per
+task, in order of windows, from which the second reading takes them a window at a time. Texts for which
+something is missing there, because the input was dealt differently the second time, get it by a join.
+Units of more than ``fold_chars`` characters, for
 which folding whole arrays would cost the square of their length, are encoded by the same
 recursion in linear time instead. Nothing is truncated.
 
@@ -29,6 +33,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +43,20 @@ from pyspark.sql import types as T
 from tidemark.llm.arrow import ARROW, as_bytes, bounded_batches, slices
 from tidemark.llm.hot_table import HashTable, hot_from, usable
 from tidemark.operators.keyed import settled
+from tidemark.session import scratch_path
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text cut at once; a unit's hash takes some 50 times its length in passing.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
+#: Bytes of text whose rarer units a task holds at once.
+WINDOW_BYTES = 16 << 20
+#: Distinct units a task holds before it hands them on.
+HELD_UNITS = 1 << 18
+#: Substrings of that length or more are looked up only in lengths that pieces with their first characters have.
+HEAD_CHARS = 4
+#: Lattices are grouped in that many times the session's partitions; a group's sort is that much smaller.
+LATTICE_PARTS = 4
 
 
 @dataclass(frozen=True)
@@ -59,6 +74,14 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.text), default=1)
 
+    def lengths_by_head(self) -> list[tuple[str, list[int]]]:
+        """Lengths worth a look by first characters: those of pieces that begin so, and all shorter than ``HEAD_CHARS``."""
+        found: dict[str, set[int]] = {}
+        for p in self.text:
+            if len(p) >= HEAD_CHARS:
+                found.setdefault(p[:HEAD_CHARS], set(range(1, HEAD_CHARS))).add(len(p))
+        return [(head, sorted(lengths)) for head, lengths in found.items()]
+
     @property
     def unknown_score(self) -> float:
         return min(self.scores, default=0.0) - UNKNOWN_PENALTY
@@ -154,20 +177,39 @@ def unit_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
 
 
 def corpus_units(docs: DataFrame, pieces: Pieces, seed: int) -> DataFrame:
-    """(hash, unit, n): distinct units of all texts and how often they occur."""
+    """(hash, unit, n, size): distinct units of all texts, how often they occur, and their lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(pieces.text)
+        held, rows = [], 0
+
+        def merged() -> pa.Table:
+            counts = pa.Table.from_batches(held).group_by(["hash", "unit"], use_threads=False).aggregate([("n", "sum")])
+            return pa.table([counts["hash"], counts["unit"], counts["n_sum"]], names=["hash", "unit", "n"])
+
         for b in batches:
             texts = as_bytes(b.column(0))
             for i, j in slices(texts, PART_BYTES):
                 whole, points, starts, ends, _ = cutter.cut(texts[i:j])
                 h, first, n = np.unique(unit_hashes(points, starts, ends, seed), return_index=True, return_counts=True)
                 units = [whole[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(units, pa.string()), pa.array(n)], names=["hash", "unit", "n"])
+                held.append(pa.RecordBatch.from_arrays([pa.array(h), pa.array(units, pa.string()), pa.array(n)], names=["hash", "unit", "n"]))
+                rows += len(h)
+                if rows > 2 * HELD_UNITS:
+                    held = merged().combine_chunks().to_batches()
+                    rows = sum(len(x) for x in held)
+                    if rows > HELD_UNITS:
+                        yield from held
+                        held, rows = [], 0
+        if held:
+            yield from merged().to_batches()
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "hash long, unit string, n long")
-    return rows.groupBy("hash", "unit").agg(F.sum("n").alias("n"))
+    # Units are short and their lattices long: deal them out by number, not by their own size. Grouping
+    # them, and later their edges, then needs no further shuffle.
+    parts = LATTICE_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The length as an aggregate: a filter on it stays behind the shuffle, which both kinds of units share.
+    return rows.repartition(parts, "hash").groupBy("hash", "unit").agg(F.sum("n").alias("n"), F.max(F.length("unit")).alias("size"))
 
 
 def fold_edges(edges: Column, size: Column) -> Column:
@@ -197,17 +239,17 @@ def fold_edges(edges: Column, size: Column) -> Column:
 
 
 def encode_units(units: DataFrame, pieces: Pieces, fold_chars: int) -> DataFrame:
-    """(hash, n, ids) of distinct (hash, unit, n), by lattice; characters without a piece as negative ids."""
+    """(hash, n, ids) of distinct (hash, unit, n, size), by lattice; characters without a piece as negative ids."""
     spark = units.sparkSession
-    # Units are short and their lattices long: deal them out by number, not by their own size. Grouping
-    # edges by unit then needs no further shuffle.
-    units = units.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hash")
     table = spark.createDataFrame(list(zip(pieces.text, pieces.ids, pieces.scores, strict=True)), "piece string, id int, score double")
-    size = F.length("unit")
+    heads = spark.createDataFrame(pieces.lengths_by_head(), "head string, lengths array<int>")
+    size, short = F.col("size"), F.array(*map(F.lit, range(1, HEAD_CHARS)))
     starts = (
         units.where(size <= fold_chars)
-        .select("hash", "unit", "n", F.posexplode(F.sequence(F.lit(1), size)).alias("start", "from"))
-        .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start")))).alias("chars"))
+        .select("hash", "unit", "n", "size", F.posexplode(F.sequence(F.lit(1), size)).alias("start", "from"))
+        .join(F.broadcast(heads), F.substring("unit", F.col("from"), F.lit(HEAD_CHARS)) == F.col("head"), "left")
+        .select("hash", "unit", "n", "size", "start", "from", F.explode(F.coalesce("lengths", short)).alias("chars"))
+        .where(F.col("chars") <= size - F.col("start"))
         .withColumn("part", F.substring("unit", F.col("from"), F.col("chars")))
     )
     # The vocabulary's size is fixed by its file.
@@ -219,7 +261,7 @@ def encode_units(units: DataFrame, pieces: Pieces, fold_chars: int) -> DataFrame
         F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
     )
     folded = (
-        edges.groupBy("hash", "unit", "n")
+        edges.groupBy("hash", "unit", "n", "size")
         .agg(F.array_sort(F.collect_list(edge)).alias("edges"))
         .select("hash", "n", fold_edges(F.col("edges"), size).alias("ids"))
     )
@@ -235,32 +277,45 @@ def encode_units(units: DataFrame, pieces: Pieces, fold_chars: int) -> DataFrame
 
 
 class Assembler:
-    """Puts texts together from the ids of their units."""
+    """Puts texts together from the ids of their units: those in every task, and others taken in for a while."""
 
     def __init__(self, table: HashTable, offsets: np.ndarray, flat: np.ndarray):
         self.table, self.offsets, self.flat = table, offsets, flat
-
-    def ids(self, hashes: np.ndarray, first: np.ndarray, extra: dict[int, np.ndarray] | None = None):
+        self.rare = None
+
+    def take(self, lists: list[pa.RecordBatch]) -> None:
+        """Hold the units of (hash, ids) in place of those taken before."""
+        hashes = [b.column(0).to_numpy() for b in lists]
+        if not sum(map(len, hashes)):
+            self.rare = None
+            return
+        hashes, first = np.unique(np.concatenate(hashes), return_index=True)
+        n = np.concatenate([np.diff(b.column(1).offsets.to_numpy()) for b in lists]).astype(np.int64)
+        flat = np.concatenate([b.column(1).flatten().to_numpy() for b in lists])
+        begins = len(self.flat) + np.cumsum(n) - n
+        table = HashTable(hashes, np.arange(len(hashes), dtype=np.int32))
+        self.rare = table, begins[first], n[first], np.concatenate([self.flat, flat])
+
+    def ids(self, hashes: np.ndarray, first: np.ndarray) -> list:
         """Per text: ids, or the hashes it lacks; ``first``: each text's first unit."""
         at, found = self.table.get(hashes)
+        at = np.where(found, at, 0)
+        begin = self.offsets[at]
+        n = np.where(found, self.offsets[at + 1] - begin, 0) if len(self.offsets) > 1 else np.zeros(len(hashes), np.int64)
+        flat = self.flat
+        if self.rare is not None and not found.all():
+            table, begins, sizes, flat = self.rare
+            left = np.flatnonzero(~found)
+            at, there = table.get(hashes[left])
+            left, at = left[there], at[there]
+            begin[left], n[left], found[left] = begins[at], sizes[at], True
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(begin - (upto - n), n) + np.arange(int(n.sum()))]
+        edge, missing = np.concatenate([[0], upto]), np.concatenate([[0], np.cumsum(~found)])
         last = np.append(first[1:], len(hashes))
-        if found.all():
-            n = self.offsets[at + 1] - self.offsets[at]
-            upto = np.cumsum(n)
-            ids = self.flat[np.repeat(self.offsets[at] - (upto - n), n) + np.arange(int(n.sum()))]
-            edge = np.concatenate([[0], upto])
-            return [ids[edge[a] : edge[z]] for a, z in zip(first, last, strict=True)]
-        out = []
-        for a, z in zip(first, last, strict=True):
-            if extra is None and not found[a:z].all():
-                out.append({int(h) for h in hashes[a:z][~found[a:z]]})
-                continue
-            parts = [
-                self.flat[self.offsets[i] : self.offsets[i + 1]] if ok else extra[int(h)]
-                for i, ok, h in zip(at[a:z], found[a:z], hashes[a:z], strict=True)
-            ]
-            out.append(np.concatenate(parts) if parts else np.empty(0, np.int32))
-        return out
+        return [
+            set(hashes[a:z][~found[a:z]].tolist()) if missing[z] > missing[a] else ids[edge[a] : edge[z]] for a, z in zip(first, last, strict=True)
+        ]
 
 
 def spell_unknown(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
@@ -283,6 +338,83 @@ class Decoder:
         return self.flat[at].tobytes()[1:]  # without the leading mark
 
 
+def window_slices(texts: list[bytes], before: int) -> Iterator[tuple[int, int, int]]:
+    """Ranges of at most ``PART_BYTES`` or one row, and the window of a task's texts in which they begin.
+
+    ``before``: bytes of the task's earlier texts. Windows depend on the texts' order alone, not on batches.
+    """
+    ends = before + np.cumsum([len(x) for x in texts], dtype=np.int64)
+    windows = np.concatenate([[before], ends[:-1]])[: len(texts)] // WINDOW_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(windows)) + 1).tolist(), len(texts)]
+    for a, z in zip(edges, edges[1:], strict=False):
+        for i, j in slices(texts[a:z], PART_BYTES):
+            yield a + i, a + j, int(windows[a])
+
+
+def units_by_task(texts: DataFrame, rare: DataFrame, pieces: Pieces, seed: int, sent) -> str:
+    """Folder with the ids of the units that are not in the table ``sent``, by task of ``texts`` that needs them and window."""
+    spark = texts.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, cutter, task = HashTable.of(sent.value[0]), Cutter(pieces.text), TaskContext.get().partitionId()
+        size, now, held = 0, 0, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            hashes = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
+            held.clear()
+            columns = [np.full(len(hashes), task, np.int32), np.full(len(hashes), now, np.int32), hashes]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["task", "window", "hash"])
+
+        for b in batches:
+            part = as_bytes(b.column(0))
+            for i, j, window in window_slices(part, size):
+                if window != now:
+                    yield from finish()
+                    now = window
+                size += sum(map(len, part[i:j]))
+                _, points, starts, ends, _ = cutter.cut(part[i:j])
+                hashes = np.unique(unit_hashes(points, starts, ends, seed))
+                held.append(hashes[~table.get(hashes)[1]])
+        yield from finish()
+
+    needed = texts.mapInArrow(run, "task int, window int, hash long").join(rare, "hash")
+    folder = scratch_path(spark, "units-by-task")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    needed.repartition(parts, "task").sortWithinPartitions("task", "window").write.partitionBy("task").parquet(folder)
+    return folder
+
+
+def stored_windows(folder: str, task: int) -> Callable[[int], list[pa.RecordBatch]]:
+    """Reads a task's (hash, ids) below ``folder``, a window at a call, in ascending order."""
+    store, root = fs.FileSystem.from_uri(folder)
+    files = store.get_file_info(fs.FileSelector(f"{root}/task={task}", allow_not_found=True))
+    names = sorted(f.path for f in files if f.path.endswith(".parquet"))
+
+    def read() -> Iterator[pa.RecordBatch]:
+        for name in names:
+            with store.open_input_file(name) as f:
+                yield from pq.ParquetFile(f).iter_batches(1 << 16, columns=["window", "hash", "ids"])
+
+    batches, ahead = read(), []
+
+    def window_of(window: int) -> list[pa.RecordBatch]:
+        nonlocal ahead
+        out = []
+        while True:
+            for b in ahead:
+                numbers = b.column("window").to_numpy()
+                a, z = np.searchsorted(numbers, [window, window + 1])
+                out.append(b.slice(a, z - a).select(["hash", "ids"]))
+                ahead = [b.slice(z)] if z < len(numbers) else []
+            if ahead:
+                return out
+            ahead = [b for b in [next(batches, None)] if b is not None]
+            if not ahead:
+                return out
+
+    return window_of
+
+
 #: Takes a text and its ids and gives one value per column asked for.
 Emit = Callable[[bytes, np.ndarray, Decoder], tuple]
 
@@ -313,6 +445,9 @@ def encode_texts(
     hashes, offsets = got.column("hash").to_numpy(), lists.offsets.to_numpy().astype(np.int64)
     table = HashTable(hashes, np.arange(len(hashes), dtype=np.int32))
     sent = spark.sparkContext.broadcast((table.arrays(), offsets, lists.values.to_numpy()))
+    text = F.col("text").cast("string").alias("text_")
+    rare = units.where(~hot).select("hash", "ids")
+    folder = units_by_task(docs.select(text), rare, pieces, seed, sent)
 
     new = T.StructType.fromDDL(columns)
     schema = T.StructType([T.StructField("row", T.LongType()), *(docs.schema[c] for c in keep)])
@@ -321,17 +456,23 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch], complete: bool) -> Iterator[pa.RecordBatch]:
         arrays, offsets, flat = sent.value
         assembler, cutter, decoder = Assembler(HashTable.of(arrays), offsets, flat), Cutter(pieces.text), Decoder(pieces)
-        row = TaskContext.get().partitionId() << 40
+        task = TaskContext.get().partitionId()
+        row, size, now, stored = task << 40, 0, -1, None if complete else stored_windows(folder, task)
         for b in batches:
             text_at = len(keep) + (1 if complete else 0)
             texts = as_bytes(b.column(text_at))
-            for i, j in slices(texts, PART_BYTES):
+            for i, j, window in window_slices(texts, size):
                 part = texts[i:j]
+                size += sum(map(len, part))
                 _, points, starts, ends, first = cutter.cut(part)
-                extra = None
                 if complete:
-                    extra = {h["hash"]: np.array(h["ids"], np.int32) for hs in b.column(text_at + 1).slice(i, j - i).to_pylist() for h in hs}
-                found = assembler.ids(unit_hashes(points, starts, ends, seed), first, extra)
+                    given = b.column(text_at + 1).slice(i, j - i).flatten()
+                    fields = [given.field("hash"), given.field("ids")]
+                    assembler.take([pa.RecordBatch.from_arrays(fields, names=["hash", "ids"])])
+                elif window != now:
+                    now = window
+                    assembler.take(stored(window))
+                found = assembler.ids(unit_hashes(points, starts, ends, seed), first)
                 lacking = [sorted(f) if isinstance(f, set) else None for f in found]
                 none = (None,) * len(new)
                 made = [none if isinstance(f, set) else emit(t, spell_unknown(f, pieces), decoder) for t, f in zip(part, found, strict=True)]
@@ -349,18 +490,19 @@ def encode_texts(
                     names=schema.names,
                 )
 
-    text = F.col("text").cast("string").alias("text_")
     first_pass = docs.select(*keep, text).mapInArrow(functools.partial(run, complete=False), schema)
     done = settled(first_pass, "encoded")  # written once: its row numbers are used twice
+    out = [*keep, *new.names]
     rest = done.where("lacking IS NOT NULL")
-    wanted = rest.select("row", F.explode("lacking").alias("hash")).join(units.where(~hot).select("hash", "ids"), "hash")
+    if rest.isEmpty():
+        return done.select(*out)
+    wanted = rest.select("row", F.explode("lacking").alias("hash")).join(rare, "hash")
     given = wanted.groupBy(F.col("row").alias("row_")).agg(F.collect_list(F.struct("hash", "ids")).alias("given"))
     completed = (
         rest.join(given, F.col("row") == F.col("row_"))
         .select("row", *keep, "text_", "given")
         .mapInArrow(functools.partial(run, complete=True), schema)
     )
-    out = [*keep, *new.names]
     return done.where("lacking IS NULL").select(*out).unionByName(completed.select(*out))
 
 
