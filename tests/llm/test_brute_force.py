@@ -1,7 +1,9 @@
 """Operators against plain implementations, the libraries, held-out labels, and damaged files."""
 
 import math
+import os
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.samples import prose
-from tidemark.llm import catalog
+from tidemark.llm import catalog, token_files
 from tidemark.llm.block_codec import DamagedBlock, decode_block, encode_block
 from tidemark.llm.chat_format import PerTurn, exact_spans, parse_tagged, tagged, turn_spans
 from tidemark.llm.hot_table import HashTable
@@ -214,6 +216,55 @@ def test_token_files(spark):
         read_token_files(spark, folder, missing).collect()
 
 
+ALPHABET = ["a", "Bc", "s", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "'", "'t", "é", "×", "ß", "ɐ", "漢", ".,", "(", "5", "½", "\0", "_"]
+KEEPING = TextEncoder(open(BPE, encoding="utf-8").read(), 2)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=30).map("".join), max_size=4), st.booleans())
+def test_pieces_of_bytes(texts, damaged):
+    given_ = [t.encode() for t in texts] + [b"\xff\xc3 a\xe2\x80"] * damaged
+    library = Tokenizer.from_file(BPE)
+    library.encode_special_tokens = True
+    want = [library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids + [2] for t in given_]
+    for encoder in (ENCODER, KEEPING):
+        ids, sizes = encoder.encode_utf8(given_)
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+
+
+def test_a_word_is_one_piece_beside_any_sign():
+    encoder, asked = TextEncoder(open(BPE, encoding="utf-8").read(), 2), []
+    made = encoder._made
+    encoder._made = lambda pieces: asked.extend(pieces) or made(pieces)
+    encoder.encode([" été, (été) été. été! 'été' 5été;été", " été"])
+    encoder.encode([" été?"])
+    assert asked.count(" été".encode()) == asked.count("été".encode()) == 1
+    assert not any("été".encode() in p for p in asked if p not in (" été".encode(), "été".encode(), " 'été".encode()))
+
+
+def test_a_worker_keeps_its_pieces(spark, tmp_path, monkeypatch):
+    class Noted(TextEncoder):
+        def __init__(self, *args):
+            super().__init__(*args)
+            (tmp_path / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
+    monkeypatch.setattr(token_files, "TextEncoder", Noted)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("words "), F.col("id").cast("string")).alias("text"))
+    assert write_token_files(docs, scratch_path(spark, "kept"), BPE, partitions=40).count() > 20
+    made = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert made and len(made) == len(set(made))
+
+
+@pytest.mark.parametrize(("n", "vocabulary"), [(0, 5), (1, 1), (700, 2), (70_000, 50_257), (9_000, 3_000_000)])
+def test_codec_takes_one_interval_an_id(n, vocabulary):
+    draw = np.random.default_rng(n)
+    ids = np.minimum(draw.geometric(0.01, n) - 1, vocabulary - 1).astype(np.uint32)
+    ids[n // 2 :] = draw.integers(0, vocabulary, n - n // 2)
+    data = encode_block(ids, vocabulary)
+    got, end = decode_block(data)
+    assert data[:4] == b"CMR3" and (got == ids).all() and end == len(data)
+
+
 def closing(turns):
     return "".join(f"[{r}] {t}\n" for r, t in turns) + "done"
 

@@ -5,8 +5,8 @@ any order. Its ids are dealt to lanes, stretches of equal length that advance to
 statistics, which lets numpy code one id of every lane at a time. Each id is predicted from the id
 last seen after the two preceding ids (order 2) and after the preceding id (order 1); how much
 weight either prediction gets against the id frequencies (order 0) is learned for each pair of
-confidences. A lane's range coder narrows its interval by the prediction used, and by the order-0
-frequency where neither holds.
+confidences. A lane's range coder narrows its interval once an id: by the prediction used and, where
+neither holds, by the order-0 frequency within it.
 """
 
 from __future__ import annotations
@@ -18,13 +18,24 @@ import numpy as np
 
 HEADER = "<4sIIIII"  # magic, ids, lanes, vocabulary, crc32 of the ids, words
 HEADER_SIZE = struct.calcsize(HEADER)
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 MAX_LANES = 4096
-SLOT_BITS, ID_BITS = 12, 20
+SLOT_BITS, ID_BITS, CODE_BITS = 12, 20, 32
 CONTEXTS = 1 << 18
 CLASSES = 32
+#: Steps between updates of the slots' weights and of the order-0 intervals, once there were that many.
+WEIGH_STEPS, RANK_STEPS = 8, 64
 LOW32 = np.uint64(0xFFFFFFFF)
 WORD, TWO32 = np.uint64(32), np.uint64(1 << 32)
+EMPTY = -16  # a cell without an id: -1, which no id equals, and no confidence
+
+_sure = np.arange(16)
+# What a cell's confidence gains, by confidence (and 16 more if the id was right).
+GAIN = np.concatenate([(_sure >> 1) - _sure, (_sure < 15).astype(np.int64)]).astype(np.int32)
+# Four times the class of two cells, by the order-2 cell's confidence, the order-1 cell's, and whether they agree.
+KIND = (np.arange(2)[:, None, None] * 16 + np.minimum(_sure, 3)[None, :, None] * 4 + np.minimum(_sure, 3)).ravel() * 4
+# The slot by whether the order-2 id is right and whether the order-1 id is.
+SLOT = np.array([2, 1, 0, 0])
 
 
 class DamagedBlock(ValueError):
@@ -35,79 +46,88 @@ class Statistics:
     """What a block's lanes have learned so far; encoder and decoder go through the same states."""
 
     def __init__(self, lanes: int, vocabulary: int):
+        self.vocabulary = vocabulary
+        self.id_bits = id_bits(vocabulary)
+        self.slot_bits = min(SLOT_BITS, CODE_BITS - self.id_bits)
         # Each cell: an id and, in the low four bits, the confidence in it.
-        self.last, self.pair = np.zeros(vocabulary, np.int32), np.zeros(CONTEXTS, np.int32)
+        self.last, self.pair = np.full(vocabulary, EMPTY, np.int32), np.full(CONTEXTS, EMPTY, np.int32)
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.slots = np.ones((CLASSES, 3), np.int64) * [[2, 2, 4]]
-        self.counts, self.fresh, self.steps = np.zeros(vocabulary, np.int64), [], 0
-        self.id_bits, self.ids_at = id_bits(vocabulary), None
+        self.slots = np.ones((CLASSES, 3), np.int64) * [[8, 8, 16]]
+        self.counts, self.steps = np.zeros(vocabulary, np.int64), 0
+        self.intervals, self.plain, self.ids_at = [], [], None
         self._weigh()
         self._rank()
 
     def _weigh(self) -> None:
-        """Intervals of the three slots, by class of confidences."""
-        size = 1 + self.slots * ((1 << SLOT_BITS) - 3) // self.slots.sum(1, keepdims=True)
-        self.slot_from = np.zeros((CLASSES, 4), np.int64)
-        np.cumsum(size, axis=1, out=self.slot_from[:, 1:])
-        self.slot_from[:, 3] = 1 << SLOT_BITS
+        """Intervals of the three slots, by class of confidences; four numbers a class."""
+        total = 1 << self.slot_bits
+        size = np.zeros((CLASSES, 4), np.int64)
+        size[:, :3] = 1 + self.slots * (total - 3) // self.slots.sum(1, keepdims=True)
+        size[:, 2] = total - size[:, 0] - size[:, 1]
+        self.slot_size = size.ravel()
+        self.slot_from = (np.cumsum(size, axis=1) - size).ravel()
 
     def _rank(self) -> None:
-        """Intervals of all ids by their order-0 counts."""
-        total = max(int(self.counts.sum()), 1)
-        size = 1 + self.counts * ((1 << self.id_bits) - len(self.counts)) // total
-        self.id_from = np.zeros(len(self.counts) + 1, np.int64)
-        np.cumsum(size, out=self.id_from[1:])
-        self.id_from[-1] = 1 << self.id_bits
-        self.ids_at = None
+        """Intervals of all ids by their order-0 counts; the last interval is the whole, for no id."""
+        whole = 1 << self.id_bits
+        size = np.empty(self.vocabulary + 1, np.int64)
+        size[:-1] = 1 + self.counts * (whole - self.vocabulary) // max(int(self.counts.sum()), 1)
+        size[-2] += whole - int(size[:-1].sum())
+        self.id_from = np.cumsum(size) - size
+        self.id_from[-1], size[-1] = 0, whole
+        self.id_size, self.ids_at = size, None
 
     def id_at(self, values: np.ndarray) -> np.ndarray:
         """The ids whose order-0 intervals hold ``values``."""
         if self.ids_at is None:
-            self.ids_at = np.repeat(np.arange(len(self.counts), dtype=np.int32), np.diff(self.id_from))
-        return self.ids_at[values].astype(np.int64)
+            self.ids_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.id_size[:-1])
+        return self.ids_at.take(values)
 
     def predict(self) -> np.ndarray:
-        """Look up both predictions; the class of confidences of each lane."""
+        """Look up both predictions; four times the class of confidences of each lane."""
         self.at2 = (self.p2 * 40503 + self.p1 * 2654435761 >> 7) & (CONTEXTS - 1)
-        cell2, cell1 = self.pair[self.at2].astype(np.int64), self.last[self.p1].astype(np.int64)
-        self.guess2, self.sure2 = cell2 >> 4, cell2 & 15
-        self.guess1, self.sure1 = cell1 >> 4, cell1 & 15
-        agree = self.guess1 == self.guess2
-        self.kind = np.minimum(self.sure2, 3) * 4 + np.minimum(self.sure1, 3) + 16 * agree
-        return self.kind
-
-    def slots_of(self, ids: np.ndarray) -> np.ndarray:
-        first = (ids == self.guess2) & (self.sure2 > 0)
-        second = (ids == self.guess1) & (self.sure1 > 0)
-        return np.where(first, 0, np.where(second, 1, 2))
-
-    def learn(self, ids: np.ndarray, slots: np.ndarray, rest: np.ndarray) -> None:
-        """Take in one id per lane; ``rest``: those coded by order 0."""
-        for guess, sure, table, at in (
-            (self.guess2, self.sure2, self.pair, self.at2),
-            (self.guess1, self.sure1, self.last, self.p1),
+        self.cell2, self.cell1 = self.pair.take(self.at2), self.last.take(self.p1)
+        self.guess2, self.guess1 = self.cell2 >> 4, self.cell1 >> 4
+        self.sure2, self.sure1 = self.cell2 & 15, self.cell1 & 15
+        kind = (self.sure2 << 4) + self.sure1 + ((self.guess1 == self.guess2) * np.int32(256))
+        return KIND.take(kind.astype(np.int64))
+
+    def learn(self, ids: np.ndarray, interval: np.ndarray, plain: np.ndarray) -> None:
+        """Take in one id per lane.
+
+        ``interval``: the number of the slot's interval; ``plain``: the id if it was coded by order 0, else the vocabulary's size.
+        """
+        ids32 = ids.astype(np.int32)
+        new = (ids32 << 4) | 1
+        for cell, sure, guess, table, at in (
+            (self.cell2, self.sure2, self.guess2, self.pair, self.at2),
+            (self.cell1, self.sure1, self.guess1, self.last, self.p1),
         ):
-            right = ids == guess
-            stays = right | (sure > 1)
-            trust = np.where(right, np.minimum(sure + 1, 15), np.where(stays, sure >> 1, 1))
-            table[at] = (np.where(stays, guess, ids) << 4) | trust
-        self.slots += np.bincount(self.kind * 3 + slots, minlength=CLASSES * 3).reshape(CLASSES, 3) * 4
-        full = self.slots.sum(1) > 1 << 16
-        if full.any():
-            self.slots[full] = (self.slots[full] >> 1) + 1
-        self._weigh()
+            known = sure + (ids32 == guess) * np.int32(16)
+            table[at] = np.where(known <= 1, new, cell + GAIN.take(known.astype(np.int64)))
         self.p2, self.p1 = self.p1, ids
-        self.fresh.append(rest)
+        self.intervals.append(interval)
+        self.plain.append(plain)
         self.steps += 1
-        if self.steps % 32 == 0 or (self.steps & (self.steps - 1)) == 0:
-            self.counts += np.bincount(np.concatenate(self.fresh), minlength=len(self.counts))
-            self.fresh = []
+        early = self.steps in (1, 4, 16)
+        if self.steps % WEIGH_STEPS == 0 or early:
+            self.slots += np.bincount(np.concatenate(self.intervals), minlength=CLASSES * 4).reshape(CLASSES, 4)[:, :3]
+            full = self.slots.sum(1) > 1 << 16
+            self.slots[full] = (self.slots[full] >> 1) + 1
+            self.intervals = []
+            self._weigh()
+        if self.steps % RANK_STEPS == 0 or early:
+            self.counts += np.bincount(np.concatenate(self.plain), minlength=self.vocabulary + 1)[:-1]
+            self.plain = []
             self._rank()
 
 
 def id_bits(vocabulary: int) -> int:
     """Bits of an order-0 interval; enough for every id to have one and for counts to tell them apart."""
-    return max(ID_BITS, vocabulary.bit_length() + 3)
+    bits = max(ID_BITS, vocabulary.bit_length() + 3)
+    if bits > CODE_BITS - 4:
+        raise ValueError(f"a vocabulary of {vocabulary} ids is too large")
+    return bits
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -115,6 +135,30 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+class Ranges:
+    """The lanes' intervals. A code of ``CODE_BITS`` holds the slot and, within it, the order-0 id."""
+
+    def __init__(self, lanes: int, stats: Statistics):
+        self.stats = stats
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+        self.bits = np.uint64(stats.slot_bits + stats.id_bits)
+
+    def narrow(self, interval: np.ndarray, plain: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take the interval of a slot and an id, in units of the span; the lanes that are due for a word, and these words."""
+        stats, low, span = self.stats, self.low, self.span
+        width = stats.slot_size.take(interval)
+        start = (stats.slot_from.take(interval) << stats.id_bits) + width * stats.id_from.take(plain)
+        width *= stats.id_size.take(plain)
+        low += unit * start.view(np.uint64)
+        np.multiply(unit, width.view(np.uint64), out=span)
+        due = np.flatnonzero(span < TWO32)
+        d_low, d_span = low.take(due), span.take(due)
+        crosses = ((d_low ^ (d_low + d_span)) >> WORD) != 0
+        d_span = np.where(crosses, (~d_low + np.uint64(1)) & LOW32, d_span)
+        low[due], span[due] = d_low << WORD, d_span << WORD
+        return due, d_low >> WORD
+
+
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     n = len(ids)
     check = zlib.crc32(ids.astype("<u4").tobytes())
@@ -123,39 +167,20 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     stats = Statistics(lanes, vocabulary)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    words, room = np.zeros(lanes, np.int64), 2 * steps + 2
+    ranges = Ranges(lanes, stats)
+    words, room = np.zeros(lanes, np.int64), steps + 1
     out = np.zeros((lanes, room), np.uint32)
-
-    def narrow(at, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = span[at] >> np.uint64(bits)
-        lo = low[at] + r * start.view(np.uint64)
-        r *= size.view(np.uint64)
-        due = np.flatnonzero(r < TWO32)
-        if len(due):
-            d_lo, d_r = lo[due], r[due]
-            crosses = ((d_lo ^ (d_lo + d_r)) >> WORD) != 0
-            d_r = np.where(crosses, (~d_lo + np.uint64(1)) & LOW32, d_r)
-            lane = due if at is everyone else at[due]
-            out[lane, words[lane]] = (d_lo >> WORD).astype(np.uint32)
-            words[lane] += 1
-            lo[due], r[due] = d_lo << WORD, d_r << WORD
-        low[at], span[at] = lo, r
-
-    everyone = slice(None)
     for ids_now in grid:
         kind = stats.predict()
-        slots = stats.slots_of(ids_now)
-        start = stats.slot_from[kind, slots]
-        narrow(everyone, start, stats.slot_from[kind, slots + 1] - start, SLOT_BITS)
-        rest = np.flatnonzero(slots == 2)
-        plain = ids_now[rest]
-        if len(rest):
-            start = stats.id_from[plain]
-            narrow(rest, start, stats.id_from[plain + 1] - start, stats.id_bits)
-        stats.learn(ids_now, slots, plain)
+        slots = SLOT.take((ids_now == stats.guess2) * np.int64(2) + (ids_now == stats.guess1))
+        interval, plain = kind + slots, np.where(slots == 2, ids_now, vocabulary)
+        due, word = ranges.narrow(interval, plain, ranges.span >> ranges.bits)
+        at = words.take(due)
+        out[due, at] = word
+        words[due] = at + 1
+        stats.learn(ids_now, interval, plain)
     # One more word places the code inside the interval.
-    out[np.arange(lanes), words] = ((low >> WORD) + ((low & LOW32) != 0)).astype(np.uint32)
+    out[np.arange(lanes), words] = ((ranges.low >> WORD) + ((ranges.low & LOW32) != 0)).astype(np.uint32)
     words += 1
     payload = out[np.arange(room) < words[:, None]]
     head = struct.pack(HEADER, MAGIC, n, lanes, vocabulary, check, len(payload))
@@ -175,58 +200,34 @@ def decode_block(data: bytes, offset: int = 0) -> tuple[np.ndarray, int]:
     if int(words.sum()) != total:
         raise DamagedBlock("bad lane lengths")
     steps = _shape(n)[1]
-    stream = np.concatenate([np.frombuffer(data, "<u4", total, offset + 4 * lanes), np.zeros(2, np.uint32)]).astype(np.uint64)
-    at_word = np.cumsum(words) - words
-    stop = at_word + words
+    # A lane reads one word past its own, which counts as zero.
+    stream = np.zeros(total + lanes + 1, np.uint64)
+    stream[np.arange(total) + np.repeat(np.arange(lanes), words)] = np.frombuffer(data, "<u4", total, offset + 4 * lanes)
+    at_word = np.cumsum(words + 1) - words - 1
     stats = Statistics(lanes, vocabulary)
-    low, span, code = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64), np.zeros(lanes, np.uint64)
-
-    def more(lane: np.ndarray) -> np.ndarray:
-        at = at_word[lane]
-        inside = at < stop[lane]
-        at_word[lane] = at + 1
-        return np.where(inside, stream[np.where(inside, at, 0)], np.uint64(0))
-
-    every = np.arange(lanes)
-    for _ in range(2):
-        code = (code << WORD) | more(every)
-
-    def value(at, bits: int) -> np.ndarray:
-        r = span[at] >> np.uint64(bits)
-        return np.minimum((code[at] - low[at]) // r, np.uint64((1 << bits) - 1)).view(np.int64)
-
-    def narrow(at, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = span[at] >> np.uint64(bits)
-        lo = low[at] + r * start.view(np.uint64)
-        r *= size.view(np.uint64)
-        due = np.flatnonzero(r < TWO32)
-        if len(due):
-            d_lo, d_r = lo[due], r[due]
-            crosses = ((d_lo ^ (d_lo + d_r)) >> WORD) != 0
-            d_r = np.where(crosses, (~d_lo + np.uint64(1)) & LOW32, d_r)
-            lane = due if at is everyone else at[due]
-            code[lane] = (code[lane] << WORD) | more(lane)
-            lo[due], r[due] = d_lo << WORD, d_r << WORD
-        low[at], span[at] = lo, r
-
-    everyone = slice(None)
+    ranges = Ranges(lanes, stats)
+    code = (stream[at_word] << WORD) | stream.take(at_word + 1, mode="clip")
+    at_word += 2
+    highest = np.uint64((1 << int(ranges.bits)) - 1)
     grid = np.zeros((steps, lanes), np.int64)
     for row in grid:
         kind = stats.predict()
-        edges = stats.slot_from[kind]
-        v = value(everyone, SLOT_BITS)
-        slots = (v >= edges[:, 1]).astype(np.int64) + (v >= edges[:, 2])
-        start = edges[every, slots]
-        narrow(everyone, start, edges[every, slots + 1] - start, SLOT_BITS)
-        row[:] = np.where(slots == 0, stats.guess2, stats.guess1)
-        rest = np.flatnonzero(slots == 2)
-        plain = np.empty(0, np.int64)
-        if len(rest):
-            plain = stats.id_at(value(rest, stats.id_bits))
-            start = stats.id_from[plain]
-            narrow(rest, start, stats.id_from[plain + 1] - start, stats.id_bits)
-            row[rest] = plain
-        stats.learn(row.copy(), slots, plain)
+        unit = ranges.span >> ranges.bits
+        value = np.minimum((code - ranges.low) // unit, highest).view(np.int64)
+        at = value >> stats.id_bits
+        slots = (at >= stats.slot_from.take(kind + 1)).astype(np.int64) + (at >= stats.slot_from.take(kind + 2))
+        interval = kind + slots
+        value -= stats.slot_from.take(interval) << stats.id_bits
+        # Exact: below 2^32 by at most 2^12.
+        found = stats.id_at((value / stats.slot_size.take(interval)).astype(np.int64))
+        plainly = slots == 2
+        row[:] = np.where(plainly, found, np.where(slots == 1, stats.guess1, stats.guess2))
+        plain = np.where(plainly, found, vocabulary).astype(np.int64)
+        due, _ = ranges.narrow(interval, plain, unit)
+        at = at_word.take(due)
+        code[due] = (code.take(due) << WORD) | stream.take(at, mode="clip")
+        at_word[due] = at + 1
+        stats.learn(row, interval, plain)
     ids = grid.T.ravel()[:n].astype(np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
         raise DamagedBlock("checksum differs")

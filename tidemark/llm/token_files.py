@@ -42,6 +42,8 @@ HEAD = "<4sIQII"
 HEAD_SIZE = struct.calcsize(HEAD)
 MAGIC = b"TIDF"
 NAME = re.compile(r"shard-(\d+)-(\d+)\.tid$")
+#: Bytes of text tokenized at once.
+PART_BYTES = 1 << 20
 MANIFEST = "task long, part long, n_docs long, n_ids long, n_bytes long, file string"
 
 
@@ -84,9 +86,11 @@ def write_token_files(
     spark = docs.sparkSession
     definition = Path(tokenizer).read_text(encoding="utf-8")
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A Python worker unpacks a broadcast value once, for all its tasks: the pieces they remember stay there.
+    kept = spark.sparkContext.broadcast({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(definition, end)
+        encoder = kept.value.get("encoder") or kept.value.setdefault("encoder", TextEncoder(definition, end))
         vocabulary = max(encoder.library.get_vocab_size(with_added_tokens=True), end + 1)
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
@@ -112,8 +116,8 @@ def write_token_files(
 
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), as_bytes(b.column(1))
-            for i, j in slices(texts):
-                made, n = encoder.encode([t.decode("utf-8", "replace") for t in texts[i:j]])
+            for i, j in slices(texts, PART_BYTES):
+                made, n = encoder.encode_utf8(texts[i:j])
                 ends = np.cumsum(n)
                 first = 0
                 while first < len(n):
@@ -123,7 +127,7 @@ def write_token_files(
                     if upto > first:
                         names += doc_ids[i + first : i + upto]
                         sizes.append(n[first:upto])
-                        ids.append(made[begin : ends[upto - 1]].astype(np.uint32))
+                        ids.append(made[begin : ends[upto - 1]])
                         held += int(ends[upto - 1] - begin)
                     if upto < len(n):
                         yield from flush()
