@@ -23,7 +23,7 @@ from tidemark.llm.hot_table import HashTable
 from tidemark.llm.lm_ppm import Settings as LmSettings
 from tidemark.llm.lm_ppm import score_ppm, train_ppm
 from tidemark.llm.ngram_join import Settings, all_shingles, ngram_classes
-from tidemark.llm.sentencepiece_lattice import Decoder, best_path, corpus_units, encode_units, read_pieces, spell_unknown
+from tidemark.llm.sentencepiece_lattice import Decoder, best_path, corpus_units, encode_units, read_pieces, spell_unknown, unit_hashes
 from tidemark.llm.token_files import pack_shard, read_token_files, unpack_shard, write_token_files
 from tidemark.llm.tokenize import TextEncoder
 from tidemark.session import scratch_path
@@ -216,6 +216,29 @@ def test_token_files(spark):
         read_token_files(spark, folder, missing).collect()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab\U0001f600é", min_size=1, max_size=6), min_size=1, max_size=40))
+def test_hashes_tell_units_apart_wherever_they_stand(units):
+    ends = np.cumsum([len(u) for u in units])
+    starts = np.concatenate([[0], ends[:-1]])
+    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    h = unit_hashes(points, starts, ends, 0).tolist()
+    assert len(set(zip(units, h, strict=True))) == len(set(units)) == len(set(h))
+    assert not set(h) & set(unit_hashes(points, starts, ends, 1).tolist())
+    assert len(unit_hashes(points[:0], starts[:0], ends[:0], 0)) == 0
+
+
+def test_lattices_are_not_grouped_by_text(spark):
+    pieces = read_pieces(PIECES)
+    units = spark.createDataFrame([(1, "▁the", 3, 4), (2, "▁x☃", 1, 3), (2, "▁the", 1, 4)], "hash long, unit string, n long, size int")
+    got = encode_units(units, pieces, 64)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[hash#\d+L, row#\d+L, n#\d+L, size#\d+\]", plan)
+    scores = {t: (s, i) for t, i, s in zip(pieces.text, pieces.ids, pieces.scores, strict=True)}
+    want = [(h, n, best_path(u, scores, pieces.longest, pieces.unknown_score)) for h, u, n, _ in units.collect()]
+    assert sorted((r["hash"], r["n"], r["ids"]) for r in got.collect()) == sorted(want)
+
+
 ALPHABET = ["a", "Bc", "s", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "'", "'t", "é", "×", "ß", "ɐ", "漢", ".,", "(", "5", "½", "\0", "_"]
 KEEPING = TextEncoder(open(BPE, encoding="utf-8").read(), 2)
 

@@ -47,7 +47,7 @@ from tidemark.session import scratch_path
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Bytes of text cut at once; a unit's hash takes some 50 times its length in passing.
+#: Bytes of text cut at once; cutting and hashing takes some 50 times that in passing.
 PART_BYTES = 1 << 18
 #: Bytes of text whose rarer units a task holds at once.
 WINDOW_BYTES = 16 << 20
@@ -140,22 +140,23 @@ class Cutter:
     def __init__(self, pieces: tuple[str, ...]):
         together = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False)}
         chars = sorted({c for pair in together for c in pair})
-        self.index = np.zeros(0x110000, np.int32)
+        self.index = np.zeros(0x110000, np.int64)
         self.index[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
         if together:
             number = {c: i + 1 for i, c in enumerate(chars)}
             a, b = np.array([(number[a], number[b]) for a, b in together]).T
             self.joined[a, b] = True
+        self.joined_flat = self.joined.ravel()
 
     def cut(self, texts: list[bytes]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All marked texts in one string, its code points, the units' starts and ends, and each text's first unit."""
         marked = [MARK + t.decode("utf-8", "replace").replace(" ", MARK) if t else "" for t in texts]
         whole = "".join(marked)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        at = self.index[points]
+        at = self.index.take(points)
         begins = np.ones(len(points), bool)
-        begins[1:] = ~self.joined[at[:-1], at[1:]]
+        begins[1:] = ~self.joined_flat.take(at[:-1] * len(self.joined) + at[1:])
         size = np.array([len(m) for m in marked], np.int64)
         first_char = np.cumsum(size) - size
         begins[first_char[size > 0]] = True
@@ -164,16 +165,19 @@ class Cutter:
 
 
 def unit_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of units that lie end to end: sums of code points, each times a random number of its place in the unit."""
+    if not len(starts):
+        return np.empty(0, np.int64)
     size = ends - starts
-    h = size.astype(np.uint64) + np.uint64(seed)
     step = np.uint64(0x9E3779B97F4A7C15)
-    alive, j = np.arange(len(starts)), 0
-    while len(alive):
-        x = (h[alive] ^ points[starts[alive] + j]) * step
-        h[alive] = x ^ (x >> np.uint64(29))
-        j += 1
-        alive = alive[size[alive] > j]
-    return usable(h.view(np.int64))
+    place = (np.arange(1, int(size.max()) + 1, dtype=np.uint64) + np.uint64(seed << 40)) * step
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        place = (place ^ (place >> np.uint64(shift))) * np.uint64(factor)
+    place ^= place >> np.uint64(31)
+    inside = np.arange(len(points)) - np.repeat(starts, size)
+    h = np.add.reduceat(points * place.take(inside), starts) + size.astype(np.uint64) * step
+    h = (h ^ (h >> np.uint64(29))) * step
+    return usable((h ^ (h >> np.uint64(32))).view(np.int64))
 
 
 def corpus_units(docs: DataFrame, pieces: Pieces, seed: int) -> DataFrame:
@@ -244,11 +248,13 @@ def encode_units(units: DataFrame, pieces: Pieces, fold_chars: int) -> DataFrame
     table = spark.createDataFrame(list(zip(pieces.text, pieces.ids, pieces.scores, strict=True)), "piece string, id int, score double")
     heads = spark.createDataFrame(pieces.lengths_by_head(), "head string, lengths array<int>")
     size, short = F.col("size"), F.array(*map(F.lit, range(1, HEAD_CHARS)))
+    # Edges are grouped by a number of their unit's row, which is shorter to carry and compare than the unit.
     starts = (
         units.where(size <= fold_chars)
-        .select("hash", "unit", "n", "size", F.posexplode(F.sequence(F.lit(1), size)).alias("start", "from"))
+        .withColumn("row", F.monotonically_increasing_id())
+        .select("hash", "row", "unit", "n", "size", F.posexplode(F.sequence(F.lit(1), size)).alias("start", "from"))
         .join(F.broadcast(heads), F.substring("unit", F.col("from"), F.lit(HEAD_CHARS)) == F.col("head"), "left")
-        .select("hash", "unit", "n", "size", "start", "from", F.explode(F.coalesce("lengths", short)).alias("chars"))
+        .select("hash", "row", "unit", "n", "size", "start", "from", F.explode(F.coalesce("lengths", short)).alias("chars"))
         .where(F.col("chars") <= size - F.col("start"))
         .withColumn("part", F.substring("unit", F.col("from"), F.col("chars")))
     )
@@ -261,7 +267,7 @@ def encode_units(units: DataFrame, pieces: Pieces, fold_chars: int) -> DataFrame
         F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
     )
     folded = (
-        edges.groupBy("hash", "unit", "n", "size")
+        edges.groupBy("hash", "row", "n", "size")
         .agg(F.array_sort(F.collect_list(edge)).alias("edges"))
         .select("hash", "n", fold_edges(F.col("edges"), size).alias("ids"))
     )
