@@ -153,8 +153,10 @@ class TextEncoder:
             self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.end, self.remember = [] if end is None else [end], remember
         self.table, self.known = PieceTable(), {}
-        # Ids of all remembered pieces, and where each piece's begin; number 0 is the end of a text.
-        self.flat, self.edges = np.array(self.end, np.uint32), np.array([0, len(self.end)], np.int64)
+        # Ids of pieces, and where each piece's begin, with room behind for more; the first ``count`` are remembered,
+        # others are overwritten by the next. Number 0 is the end of a text.
+        self.flat, self.edges, self.count = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), 1
+        self.flat[: len(self.end)], self.edges[1] = self.end, len(self.end)
         zero = np.zeros(1, np.uint64)
         self.table.add(zero, zero, np.zeros(1, np.int32))
 
@@ -177,28 +179,29 @@ class TextEncoder:
         sizes.append(np.array([len(x) for x in found], np.int64))
         return words + rest, np.concatenate([np.empty(0, np.uint32), *ids]), np.concatenate(sizes)
 
-    def _numbers(self, pieces: list[bytes], short: bool, flat: np.ndarray, edges: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Numbers of pieces that are not in the table, and ids and edges with those of new ones.
-
-        ``short``: the table may take new ones.
-        """
+    def _numbers(self, pieces: list[bytes], short: bool) -> list[int]:
+        """Numbers of pieces that are not in the table, good until the next call; ``short``: the table may take new ones."""
         fresh = list(set(pieces).difference(self.known))
         if not fresh:
-            return [self.known[p] for p in pieces], flat, edges
+            return [self.known[p] for p in pieces]
         fresh, ids, sizes = self._made(fresh)
-        first = len(edges) - 1
-        room = len(fresh) <= self.remember - self.table.n - len(self.known) and edges is self.edges
-        flat, edges = np.concatenate([flat, ids]), np.concatenate([edges, edges[-1] + np.cumsum(sizes)])
+        first, used = self.count, int(self.edges[self.count])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(fresh) >= len(self.edges):
+            self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
+        self.flat[used : used + len(ids)] = ids
+        self.edges[first + 1 : first + 1 + len(fresh)] = used + np.cumsum(sizes)
         new = dict(zip(fresh, range(first, first + len(fresh)), strict=True))
         numbers = [new[p] if p in new else self.known[p] for p in pieces]
-        if room:
-            self.flat, self.edges = flat, edges
+        if len(fresh) <= self.remember - self.count:
+            self.count += len(fresh)
             tabled = [p for p in fresh if len(p) <= SHORT] if short else []
             if tabled:
                 keys = np.frombuffer(b"".join(p.ljust(SHORT, b"\0") for p in tabled), "<u8").reshape(-1, 2)
                 self.table.add(keys[:, 0].copy(), keys[:, 1].copy(), np.array([new.pop(p) for p in tabled], np.int32))
             self.known |= new
-        return numbers, flat, edges
+        return numbers
 
     def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers by text, of texts whose blanks have one byte."""
@@ -212,29 +215,28 @@ class TextEncoder:
         numbers = self.table.get(first, second).astype(np.int64)
         numbers[size > SHORT] = -1
         left = np.flatnonzero(numbers < 0)
-        flat, edges = self.flat, self.edges
         if len(left):
             a = starts[left]
             pieces = [whole[i:j] for i, j in zip(a.tolist(), (a + size[left]).tolist(), strict=True)]
-            numbers[left], flat, edges = self._numbers(pieces, True, flat, edges)
-        return self._spread(numbers, np.flatnonzero(numbers == 0), flat, edges)
+            numbers[left] = self._numbers(pieces, True)
+        return self._spread(numbers, np.flatnonzero(numbers == 0))
 
     def _odd(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         cuts = [[p.encode() for p in CUT.findall(t.decode())] for t in texts]
-        numbers, flat, edges = self._numbers([p for c in cuts for p in c], False, self.flat, self.edges)
+        numbers = self._numbers([p for c in cuts for p in c], False)
         last = np.cumsum([len(c) + 1 for c in cuts]) - 1
         whole = np.zeros(last[-1] + 1, np.int64)
         inner = np.ones(len(whole), bool)
         inner[last] = False
         whole[inner] = numbers
-        return self._spread(whole, last, flat, edges)
+        return self._spread(whole, last)
 
-    @staticmethod
-    def _spread(numbers: np.ndarray, last: np.ndarray, flat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = edges[numbers]
-        n = edges[numbers + 1] - begin
+    def _spread(self, numbers: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered pieces, and how many there are up to each of ``last`` from the one before."""
+        begin = self.edges[numbers]
+        n = self.edges[numbers + 1] - begin
         upto = np.cumsum(n)
-        ids = flat[np.repeat(begin - (upto - n), n) + np.arange(int(upto[-1]))]
+        ids = self.flat[np.repeat(begin - (upto - n), n) + np.arange(int(upto[-1]))]
         return ids, np.diff(upto[last], prepend=0)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
