@@ -325,6 +325,37 @@ def test_turns_rendered_once_have_the_spans_of_prefixes(turns):
         assert turn_spans(PerTurn(one), turns) == exact_spans(PerTurn(one), turns)
 
 
+def test_the_default_template_renders_every_prefix(monkeypatch):
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i % 5}") for i in range(70)]
+    seen, whole = [], PerTurn.__call__
+    monkeypatch.setattr(PerTurn, "__call__", lambda self, part: [seen.append(list(part)), whole(self, part)][1])
+    out, spans, rewritten = turn_spans(tagged, turns)
+    assert all(turns[:k] in seen for k in range(len(turns) + 1))
+    assert out == "".join(map(tagged.one, turns)) and [out[c:d] for *_, c, d in spans] == [t for _, t in turns] and rewritten is None
+
+
+class Recapped(PerTurn):
+    def __call__(self, turns):
+        return ("recap\n" if turns and len(turns) % 10 == 0 else "") + super().__call__(turns)
+
+
+def test_a_template_made_of_turns_may_rewrite_history():
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(25)]
+    render = Recapped(tagged.one)
+    assert [turn_spans(render, turns[:n])[2] for n in (9, 10, 25)] == [None, 9, 9]
+    assert turn_spans(render, turns[:10])[0] == "recap\n" + tagged(turns[:10])
+
+
+def nested(turns):
+    return "".join(f"{r}: {'>' * k}{t}\n" for k, (r, t) in enumerate(turns))
+
+
+def test_the_text_of_a_turn_is_looked_for_wherever_its_head_grew():
+    turns = [("user", "a"), ("user", "b"), ("user", "<s>"), ("user", "c")]
+    out, spans, _ = turn_spans(nested, turns)
+    assert [out[c:d] for *_, c, d in spans] == [t for _, t in turns]
+
+
 def test_rules_of_repetition():
     from tidemark.llm.quality_rules import Rules, measure
 
